@@ -36,10 +36,10 @@ class Model:
 
     def score(self, text: str | None) -> float:
         x = distinct_buckets(text, ORDERS, BITS, self.weights != 0)
-        return float(1 / (1 + np.exp(-np.clip(self.intercept + self.weights[x].sum(), -500, 500))))
+        return float(1 / (1 + np.exp(-np.clip(self.intercept + float(self.weights[x].sum()), -500, 500))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, share: float, l2: float = 2e-5, rounds: int = 120, least_rows: int = 4) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray, share: float, l2: float = 1e-3, rounds: int = 120, least_rows: int = 4) -> Model:
     """rows: distinct buckets of each text; share: the share of class 1 where the model is used."""
     y = np.asarray(y, float)
     weights, base = np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
