@@ -11,6 +11,7 @@ MODULES = {
     "op6_langid": "langid",
     "op8_toxicity": "toxicity",
     "op9_media": "media",
+    "op10_pieces": "pieces",
 }
 
 
