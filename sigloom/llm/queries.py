@@ -7,6 +7,7 @@ from importlib import import_module
 #: name: module that has a function of that name
 MODULES = {
     "op1_sharding": "sharding",
+    "op2_jaccard": "jaccard",
     "op5_quality": "quality",
     "op6_langid": "langid",
     "op8_toxicity": "toxicity",
