@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ BLANK = "▁"
 WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Words longer than this are rare; they are merged one by one.
 LONGEST = 48
-#: So many distinct words are remembered by a worker; beyond that it forgets all and starts anew.
-REMEMBERED = 400_000
+#: Beyond so many distinct words a worker forgets those that it hasn't met since it last did so.
+REMEMBERED = 150_000
 #: Ends of one batch of words of a length.
 BATCH = 20_000
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -59,6 +60,7 @@ class Pieces:
         self.longest = max(map(len, self.ids), default=1)
         found = sorted((int(self.hashes(np.array([[ord(c) for c in t]], np.uint64))[0]), i) for t, i in self.ids.items())
         self.keys, self.key_ids = np.array([k for k, _ in found], np.uint64), np.array([i for _, i in found], np.int64)
+        self.numbers = list(range(len(names)))  # one object per id, however often it is remembered
         self.prefixes = np.zeros(1 << 21, bool)
         self.prefixes[self.keys >> np.uint64(43)] = True
         if len(np.unique(self.keys)) < len(self.keys):
@@ -194,7 +196,7 @@ class Pieces:
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
-        text = b"".join([self.decoded[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -203,7 +205,8 @@ class Encoder:
 
     def __init__(self, pieces: Pieces) -> None:
         self.p = pieces
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -223,57 +226,59 @@ class Encoder:
 
     def equal_length(self, words: list[str], length: int) -> None:
         p, n = self.p, len(words)
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length).astype(np.int64)
+        # one row per position, so that a position of all words lies together
+        codes = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length).T).astype(np.int64)
         grown = codes.astype(np.uint64) + np.uint64(1)
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        piece, start = np.full((n, length + 1), -1, np.int64), np.zeros((n, length + 1), np.int64)
-        odd = np.zeros(n, bool)  # words with a position that has not exactly one candidate
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0
+        piece, start = np.full((length + 1, n), -1, np.int64), np.zeros((length + 1, n), np.int64)
         for e in range(1, length + 1):
+            rows = np.arange(n)  # the words that still look for candidates at this position
             h = np.zeros(n, np.uint64)
-            count = np.zeros(n, np.int64)
             for s in range(e - 1, max(0, e - p.longest) - 1, -1):
-                h = (h + grown[:, s]) * _MUL
+                h = (h + (grown[s] if len(rows) == n else grown[s][rows])) * _MUL
                 found = p.lookup(h ^ (h >> np.uint64(31)) * _MIX)
                 if s == e - 1:
-                    found = np.where(found < 0, -2 - codes[:, s], found)
-                rows = np.flatnonzero((found != -1) & (best[:, s] > -np.inf))
-                if not len(rows):
+                    found = np.where(found < 0, -2 - codes[s], found)
+                hit = np.flatnonzero(found != -1)
+                if not len(hit):
                     continue
+                at, got = rows[hit], found[hit]
                 if p.bpe:
                     if s:
-                        rows = rows[self.fits(piece[rows, s], found[rows])]
-                    score = np.full(len(rows), float(e))
+                        ok = self.fits(piece[s][at], got) & (best[s][at] > -np.inf)
+                        hit, at, got = hit[ok], at[ok], got[ok]
+                    best[e, at], piece[e, at], start[e, at] = e, got, s
+                    if len(hit):  # no word has two
+                        left = np.ones(len(rows), bool)
+                        left[hit] = False
+                        rows, h = rows[left], h[left]
+                        if not len(rows):
+                            break
                 else:
-                    got = found[rows]
-                    score = best[rows, s] + np.where(got >= 0, p.scores[np.maximum(got, 0)], p.scores.min() - 10)
-                count[rows] += 1
-                better = score > best[rows, e]
-                rows = rows[better]
-                best[rows, e], piece[rows, e], start[rows, e] = score[better], found[rows], s
-            if p.bpe:
-                odd |= count != 1
+                    score = best[s][at] + np.where(got >= 0, p.scores[np.maximum(got, 0)], p.scores.min() - 10)
+                    better = score > best[e][at]
+                    at = at[better]
+                    best[e, at], piece[e, at], start[e, at] = score[better], got[better], s
+        odd = np.isinf(best[length]).tolist()
         at, rows, back = np.full(n, length), np.arange(n), []
         while (live := at > 0).any():
-            back.append(np.where(live, piece[rows, at], -1))
-            at = np.where(live, start[rows, at], 0)
-        for k, (word, path, other) in enumerate(zip(words, np.array(back).T.tolist(), odd.tolist())):
+            back.append(np.where(live, piece[at, rows], -1))
+            at = np.where(live, start[at, rows], 0)
+        number = p.numbers
+        for word, path, other in zip(words, np.array(back)[::-1].T.tolist(), odd):
             if other:
-                self.words[word] = p.of_parts(p.merged(word))
+                self.words[word] = tuple(p.of_parts(p.merged(word)))
+            elif min(path) >= -1:
+                self.words[word] = tuple([number[i] for i in path if i >= 0])
             else:
-                ids: list[int] = []
-                for i in reversed(path):
-                    if i >= 0:
-                        ids.append(i)
-                    elif i < -1:
-                        ids += p.of_parts([chr(-2 - i)])
-                self.words[word] = ids
+                self.words[word] = tuple([k for i in path if i != -1 for k in ([i] if i >= 0 else p.of_parts([chr(-2 - i)]))])
 
     def learn(self, words: Iterable[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for w in words:
             if len(w) > LONGEST and self.p.bpe:
-                self.words[w] = self.p.of_parts(self.long_merged(w))
+                self.words[w] = tuple(self.p.of_parts(self.long_merged(w)))
             else:
                 by_length.setdefault(len(w), []).append(w)
         for length, same in by_length.items():
@@ -310,19 +315,15 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         if len(self.words) > REMEMBERED:
-            self.words.clear()
+            self.words, self.older = {}, self.words
         cut = [WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         new = {w for words in cut for w in words} - self.words.keys()
-        if new:
+        for w in new & self.older.keys():
+            self.words[w] = self.older[w]
+        if new := new - self.words.keys():
             self.learn(new)
-        known = self.words
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
-        return out
+        known = self.words.__getitem__
+        return [list(chain.from_iterable(map(known, words))) for words in cut]
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -337,17 +338,18 @@ def encoder_for(pieces: Pieces, key: int) -> Encoder:
 
 
 #: Characters that are encoded at once: bounds the memory beside the batch itself.
-AT_ONCE = 8_000_000
+AT_ONCE = 2_500_000
 
 
-def blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
+def blocks(column: pa.Array, rows: int = 256) -> Iterator[list[str | None]]:
+    """A column's texts, some at a time."""
     block, size = [], 0
-    for t in texts:
-        block.append(t)
-        size += len(t or "")
+    for at in range(0, len(column), rows):
+        block += column.slice(at, rows).to_pylist()
+        size = sum(len(t or "") for t in block)
         if size > AT_ONCE:
             yield block
-            block, size = [], 0
+            block = []
     if block:
         yield block
 
@@ -362,9 +364,9 @@ def encoded(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
         own = encoder_for(shipped.value, id(shipped.value))
         for b in batches:
             at = 0
-            for block in blocks(b.column(1).to_pylist()):
+            for block in blocks(b.column(1)):
                 ids = own.encode(block)
-                flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 cols = [b.column(0).slice(at, len(block)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends).astype(np.int64))]
                 if check:
