@@ -34,3 +34,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def fold_of(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k; null ids fall in the fold of the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(k))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), lambda x: use(x))[0]

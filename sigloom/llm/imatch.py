@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from sigloom.llm.common import table
+from sigloom.llm.common import let, table
 
 #: The band of the inverse document frequency: terms in 0.4 % to 20 % of all documents.
 IDF_BAND = (math.log(1 / 0.2), math.log(1 / 0.004))
@@ -32,11 +32,6 @@ ONE_OF, LEXICONS = (2, 8, 32, 64, 128), 5
 SLOTS = 1 << 14
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def terms(text: Column) -> Column:
     """Hashes of the distinct terms of a text."""
     words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"))

@@ -11,6 +11,7 @@ MODULES = {
     "op4_imatch": "imatch",
     "op5_quality": "quality",
     "op6_langid": "langid",
+    "op7_pii": "pii",
     "op8_toxicity": "toxicity",
     "op9_media": "media",
     "op10_pieces": "pieces",
