@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_sharding": "sharding",
     "op2_jaccard": "jaccard",
+    "op3_mixing": "mixing",
     "op4_imatch": "imatch",
     "op5_quality": "quality",
     "op6_langid": "langid",
