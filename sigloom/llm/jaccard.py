@@ -8,6 +8,7 @@ Texts are sets of word 5-grams; two texts are linked if their sets' Jaccard simi
 2. A path's bucket that is small is compared by brute force, on sketches of 128 bytes, with a bound so loose that linked pairs
    pass; a larger one is split by the paths' next level, and one still larger at the last level is cut into blocks whose
    pairs are all compared. The number of runs follows from the target recall.
+   Runs come in a few parts, each after the components of those before it.
 3. Sets that passed are put together into components, and within a component all pairs' exact similarities are computed, in blocks
    of bounded size. Links are counted there and nowhere written as pairs, so large groups of near copies stay linear in rows.
 
@@ -77,11 +78,11 @@ def runs_for(recall: float, similarity: float = SIMILARITY) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - found))
 
 
-def paths(own: np.ndarray, runs: int) -> np.ndarray:
-    """Rows of LEVELS path numbers, 0 where a path has ended."""
+def paths(own: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of LEVELS path numbers, 0 where a path has ended, sorted by the first, and the run of each."""
     bound = np.uint64(min(2**64 - 1, int(PICKS / len(own) * 2**64)))
     out = []
-    heads, lines = mixed(np.arange(1, runs + 1, dtype=np.uint64)), np.zeros((runs, 0), np.uint64)
+    heads, lines = mixed(np.arange(1, runs + 1, dtype=np.uint64)), np.arange(runs, dtype=np.uint64)[:, None]
     for level in range(LEVELS):
         drawn = mixed(own[None, :] ^ heads[:, None])
         at, which = np.nonzero(drawn <= bound)
@@ -90,7 +91,9 @@ def paths(own: np.ndarray, runs: int) -> np.ndarray:
             out.append(np.hstack([lines[ended], np.zeros((len(ended), LEVELS - level), np.uint64)]))
         heads = mixed(drawn[at, which] + _B)
         lines = np.hstack([lines[at], heads[:, None]])
-    return np.vstack([*out, lines]) if len(out) or len(lines) else np.zeros((0, LEVELS), np.uint64)
+    found = np.vstack([*out, lines])
+    found = found[np.argsort(found[:, 1], kind="stable")]
+    return found[:, 1:], found[:, 0]
 
 
 def sketch(own: np.ndarray) -> bytes:
@@ -109,22 +112,33 @@ def drawn(docs: DataFrame, doc_id: str, text: str, runs: int) -> DataFrame:
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, sketches, flat, ends = [], [], [], [], [0]
+            keys, sizes, sketches, heads, of_run, rest, rest_ends, ends = [], [], [], [], [], [], [0], [0]
             for t in b.column(2).to_pylist():
                 own = tokens(t)
                 keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 sizes.append(len(own))
-                found = paths(own, runs) if len(own) > 3 else np.zeros((0, LEVELS), np.uint64)
                 sketches.append(sketch(own) if len(own) > 3 else None)
-                flat.append(found.reshape(-1))
-                ends.append(ends[-1] + found.size)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat).view(np.int64) if flat else [], pa.int64()))
+                if len(own) > 3:
+                    found, run = paths(own, runs)
+                    at = np.flatnonzero(np.append(True, found[1:, 0] != found[:-1, 0])) if len(found) else np.zeros(0, int)
+                    heads.append(found[at, 0])
+                    of_run.append(run[at])
+                    deeper = found[:, 1] != 0
+                    rest.append(found[deeper, 1:].reshape(-1))
+                    if len(at):
+                        rest_ends += (rest_ends[-1] + (LEVELS - 1) * np.cumsum(np.add.reduceat(deeper.astype(np.int64), at))).tolist()
+                    ends.append(ends[-1] + len(at))
+                else:
+                    ends.append(ends[-1])
+            flat = lambda x: pa.array(np.concatenate(x).view(np.int64) if x else [], pa.int64())
+            line = pa.StructArray.from_arrays([flat(of_run).cast(pa.int32()), flat(heads), pa.ListArray.from_arrays(pa.array(rest_ends, pa.int32()), flat(rest))], ["run", "head", "rest"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), line)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), lists], ["doc_id", "text_key", "sid", "n", "sketch", "paths"]
             )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    return rows.mapInArrow(draw, f"doc_id {kind}, text_key long, sid binary, n int, sketch binary, paths array<long>")
+    return rows.mapInArrow(draw, f"doc_id {kind}, text_key long, sid binary, n int, sketch binary, paths array<struct<run:int,head:long,rest:array<long>>>")
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +186,15 @@ def _chunk(t: pa.Table, name: str) -> pa.Array:
 
 
 def near_in_buckets(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
-    """Pairs of a bucket whose sketches may be those of linked sets, as one edge from each set to the first that it hangs
-    together with: as many rows as come in, at most. In a bucket cut into blocks, rows of side 0 meet those of side 1."""
+    """Pairs of a bucket whose sketches may be those of linked sets, unless earlier runs have put them together (equal comp).
+
+    What hangs together by these pairs in the rows at hand is returned as one edge from each comp to the smallest: so there are
+    no more edges than comps, however many pairs there are. In two blocks that meet each other, rows of side 0 meet those of 1.
+    """
     n = t.num_rows
     group = np.repeat(np.arange(len(at) - (at[-1] == n)), np.diff(np.append(at[at < n], n))) if n else np.zeros(0, int)
+    comp = _chunk(t, "comp")
+    labels, code = np.unique(np.frombuffer(b"".join(comp.to_pylist()), "V16"), return_inverse=True)
     sk = np.frombuffer(b"".join(_chunk(t, "sketch").to_pylist()), np.uint8).reshape(n, BINS)
     size, side = t.column("n").to_numpy(), t.column("side").to_numpy()
     left, right = [], []
@@ -183,20 +202,20 @@ def near_in_buckets(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
         i = np.flatnonzero(group[k:] == group[:-k])
         if not len(i):
             break
-        i = i[(side[i] == 2) | (side[i] != side[i + k])]
+        i = i[(code[i] != code[i + k]) & ((side[i] == 2) | (side[i] != side[i + k]))]
         i = i[np.minimum(size[i], size[i + k]) >= SIMILARITY * np.maximum(size[i], size[i + k]) - 1e-9]
         for part in np.array_split(i, max(1, len(i) // 20_000)):
             x, y = sk[part], sk[part + k]
             some = np.maximum(1, ((x | y) > 0).sum(1))
             same = ((x == y) & (x > 0)).sum(1)
             ok = same / some >= SIMILARITY - 4.5 * np.sqrt(SIMILARITY * (1 - SIMILARITY) / some)
-            left.append(part[ok])
-            right.append(part[ok] + k)
+            left.append(code[part[ok]])
+            right.append(code[part[ok] + k])
     a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
-    root = roots(n, a, b)
-    own = np.flatnonzero(root != np.arange(n))
-    sid = _chunk(t, "sid")
-    return pa.RecordBatch.from_arrays([sid.take(pa.array(root[own])), sid.take(pa.array(own))], ["a", "b"])
+    root = roots(len(labels), a, b)
+    own = np.flatnonzero(root != np.arange(len(labels)))
+    names = lambda k: pa.array([x.tobytes() for x in labels[k]], pa.binary())
+    return pa.RecordBatch.from_arrays([names(root[own]), names(own)], ["a", "b"])
 
 
 def intersections(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
@@ -258,23 +277,30 @@ def halves(rows: DataFrame, key: list[str], size: str, most: int) -> DataFrame:
     return rows.withColumn("_p", F.explode(pair)).select(*rows.columns[:-2], "_p.*")
 
 
-def buckets(sets: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """bucket, sid, size of all buckets with more than one set: the small ones of each level, and what is left of the last."""
-    width = levels
-    lines = sets.select("sid", F.explode(F.transform(F.sequence(F.lit(1), F.expr(f"greatest(1, size(paths) div {width})")), lambda k: F.slice("paths", (k - 1) * width + 1, width))).alias("p")).filter(f"size(p) = {width}")
+def buckets(rows: DataFrame, runs: tuple[int, int]) -> DataFrame:
+    """bucket, sid, size of the runs' buckets with more than one set: the small ones of each level, and what is left of the last."""
+    lines = rows.select("sid", F.explode("paths").alias("p")).filter(F.col("p.run").between(*runs)).select("sid", F.col("p.head").alias("bucket"), "p.rest").dropDuplicates(["bucket", "sid"])
     out = None
-    for level in range(levels):
-        here = lines.select("sid", F.col("p")[level].alias("bucket")).filter("bucket <> 0").distinct()
-        count = here.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-        full = count if level == levels - 1 else count.filter(F.col("size") <= BUCKET)
-        mine = here.join(full, "bucket")
+    for level in range(LEVELS):
+        count = lines.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+        last = level == LEVELS - 1
+        mine = lines.select("sid", "bucket").join(count if last else count.filter(F.col("size") <= BUCKET), "bucket")
         out = mine if out is None else out.unionByName(mine)
-        if level < levels - 1:
-            large = count.filter(F.col("size") > BUCKET).select(F.col("bucket").alias("_large"))
-            lines = lines.join(large, F.col("p")[level] == F.col("_large"), "left_semi")
+        if not last:
+            large = lines.join(count.filter(F.col("size") > BUCKET).select("bucket"), "bucket", "left_semi")
+            width = LEVELS - 1 - level
+            parts = F.expr(f"transform(sequence(1, size(rest) div {width}), k -> slice(rest, (k - 1) * {width} + 1, {width}))")
+            lines = large.filter("size(rest) > 0").select("sid", F.explode(parts).alias("q")).select("sid", F.col("q")[0].alias("bucket"), F.slice("q", 2, max(1, width - 1)).alias("rest")).filter("bucket <> 0")
+            lines = lines.groupBy("bucket", "sid").agg(F.flatten(F.collect_list("rest")).alias("rest"))
     return out
 
 
+#: Into how many parts the runs are divided; a set that one part has linked isn't linked to the same component again.
+ROUNDS = (2, 6)
+#: Up to so many sets with candidates their table (under 100 bytes a row) is broadcast to the texts; beyond, both are shuffled.
+BROADCAST_SETS = 400_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each connected component of edges (a, b).
 
@@ -296,17 +322,28 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links, rep_id (smallest id with an equal set) and n_tokens of every row of docs."""
     spark = docs.sparkSession
-    rows = written(drawn(docs, doc_id, text, runs_for(recall)), "drawn")
+    runs = runs_for(recall)
+    rows = written(drawn(docs, doc_id, text, runs), "drawn")
     first = F.min(F.struct("doc_id", "text_key"))
-    sets = rows.groupBy("sid").agg(F.count("*").alias("weight"), first.alias("carrier"), F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    sets = rows.groupBy("sid").agg(F.count("*").alias("weight"), first.alias("carrier"), F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = written(sets, "sets")
-    found = halves(buckets(sets).join(sets.select("sid", "n", "sketch"), "sid"), ["bucket"], "size", BUCKET)
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     sort = lambda df, *keys: df.repartition(int(parts), *keys).sortWithinPartitions(*keys, "sid")
-    edges = sort(found.select("bucket", "i", "j", "side", "sid", "n", "sketch"), "bucket", "i", "j").mapInArrow(lambda b: by_group(b, ["bucket", "i", "j"], near_in_buckets), "a binary, b binary")
-    near = components(edges)
+    near = None
+    bounds = [0, *[k for k in ROUNDS if k < runs], runs]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        found = buckets(rows, (lo, hi - 1)).join(sets.select("sid", "n", "sketch"), "sid")
+        if near is None:
+            found = found.withColumn("comp", F.col("sid"))
+        else:
+            found = found.join(near.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+        found = halves(found, ["bucket"], "size", BUCKET).select("bucket", "i", "j", "side", "sid", "n", "sketch", "comp")
+        edges = sort(found, "bucket", "i", "j").mapInArrow(lambda b: by_group(b, ["bucket", "i", "j"], near_in_buckets), "a binary, b binary")
+        near = components(edges if near is None else edges.union(near.filter("node <> root").select("root", "node")))
     size = near.groupBy("root").agg(F.count("*").alias("size"))
     mine = near.join(size, "root").join(sets.select(F.col("sid").alias("node"), "weight", "carrier"), "node").select(F.col("node").alias("sid"), F.col("root").alias("comp"), "size", "weight", F.col("carrier.doc_id").alias("_id"), F.col("carrier.text_key").alias("_key"))
+    if near.count() <= BROADCAST_SETS:
+        mine = F.broadcast(mine)
     texts = docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_text_key"), F.col(text).alias("_text"))
     held = texts.join(mine, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))).select("comp", "sid", "size", "weight", "_text")
 
