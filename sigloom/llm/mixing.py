@@ -27,7 +27,9 @@ BUCKETS = 1 << 14
 #: The most labelled rows of a domain that the classifier learns from.
 PER_DOMAIN = 3000
 #: Every domain is given so many texts that are like the average of all: rare words then speak for no domain, however few its rows.
-PSEUDO = 20
+PSEUDO = 300
+#: Buckets that fewer labelled texts have say nothing.
+LEAST = 10
 #: Domains of the label table, and what share of all tokens each should have.
 DOMAINS = ("clean", "toxic", "low")
 TARGET = {"clean": 0.9, "toxic": 0.02, "low": 0.08}
@@ -67,7 +69,8 @@ def log_ratios(sample: DataFrame, shares: dict[str, float]) -> tuple[list[list[f
             have[d][b] = k
     all_ = sum(n.values())
     shared = [(sum(have[d][b] for d in DOMAINS) + 0.5) / (all_ + 1) for b in range(BUCKETS)]
-    table_ = [[round(math.log((k + PSEUDO * q) / (n[d] + PSEUDO)), 4) for k, q in zip(have[d], shared)] for d in DOMAINS]
+    seen = [sum(have[d][b] for d in DOMAINS) >= LEAST for b in range(BUCKETS)]
+    table_ = [[round(math.log((k + PSEUDO * q) / (n[d] + PSEUDO)), 4) if ok else 0.0 for k, q, ok in zip(have[d], shared, seen)] for d in DOMAINS]
     return table_, [math.log(max(shares.get(d, 0), 1e-6)) for d in DOMAINS]
 
 
@@ -90,7 +93,9 @@ def posteriors(own: Column, ratios: list[list[float]], priors: list[float]) -> C
 
 
 def memberships(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, tokens and p (posteriors in the order of DOMAINS) of every row. labels: doc_id, domain, all rows."""
+    """The columns in keep, tokens and p (posteriors in the order of DOMAINS) of every row. labels: doc_id, domain; those
+    of other documents than these don't count."""
+    labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
     shares = {r["domain"]: r["n"] for r in labels.filter("domain is not null").groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
     shares = {d: (shares.get(d, 0) + 0.5) / (total + 0.5 * len(DOMAINS)) for d in DOMAINS}
@@ -126,7 +131,8 @@ def rate(p: Column, steps: list[list[float]]) -> Column:
 
 
 def fitted(rows: DataFrame, target: dict[str, float], total: float | None = None, rounds: int = 60, close: float = 1e-4) -> list[list[float]]:
-    """The steps after which expected token totals are within `close` (as a share of all) of the targets; rows: tokens and p.
+    """The steps after which expected token totals are within `close` (as a share of all) of the targets, or come nearer by less
+    than 3 % a step; rows: tokens and p.
 
     target: shares; total: how many tokens the mixture should have, as many as there are unless told otherwise.
     """
@@ -138,11 +144,14 @@ def fitted(rows: DataFrame, target: dict[str, float], total: float | None = None
     gram = [[moments[f"g{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)]
     wanted = [target[d] / sum(target.values()) * (total or moments["all"]) for d in DOMAINS]
     steps: list[list[float]] = []
+    last = math.inf
     for _ in range(rounds):
         got = rows.withColumn("r", rate(F.col("p"), steps)).agg(*[F.sum(F.col("r") * t * p[d]).alias(f"s{d}") for d in range(n)]).first()
         off = [got[f"s{d}"] - wanted[d] for d in range(n)]
-        if max(map(abs, off)) <= close * sum(wanted):
+        now = sum(o * v for o, v in zip(off, _solve(gram, off)))  # the squared distance in the steps' own metric
+        if max(map(abs, off)) <= close * sum(wanted) or now > 0.97 * last:
             break
+        last = now
         steps.append(_solve(gram, off))
     return steps
 
