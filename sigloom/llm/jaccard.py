@@ -320,7 +320,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, rep_id (smallest id with an equal set) and n_tokens of every row of docs."""
+    """doc_id, class_id, n_links, rep_id (smallest id with an equal set), n_tokens, text_key (a hash of the text) and stays (true for
+    the rows of the class's first document by id and key) of every row of docs."""
     spark = docs.sparkSession
     runs = runs_for(recall)
     rows = written(drawn(docs, doc_id, text, runs), "drawn")
@@ -358,13 +359,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     exact = written(exact, "exact")
     classes = components(exact.filter("root <> sid").select(F.col("root").alias("a"), F.col("sid").alias("b")))
     links = exact.groupBy("sid").agg(F.sum("links").alias("links"))
-    placed = sets.select("sid", "weight", "rep_id").join(links, "sid", "left").join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    placed = sets.select("sid", "weight", "rep_id", "carrier").join(links, "sid", "left").join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     placed = written(placed, "placed")
-    ids = placed.groupBy("root").agg(F.min("rep_id").alias("class_id"))
-    result = placed.join(ids, "root").select("sid", "class_id", "rep_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    return rows.select("doc_id", "sid", F.col("n").alias("n_tokens")).join(result, "sid").select("doc_id", "class_id", "n_links", "rep_id", "n_tokens")
+    ids = placed.groupBy("root").agg(F.min("rep_id").alias("class_id"), F.min("carrier").alias("first"))
+    result = placed.join(ids, "root").select("sid", "class_id", "rep_id", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    return rows.select("doc_id", "text_key", "sid", F.col("n").alias("n_tokens")).join(result, "sid").select("doc_id", "class_id", "n_links", "rep_id", "n_tokens", "text_key", stays.alias("stays"))
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each class of near copies, with all its columns. The rows that go, and repeated rows of those that stay,
+    are the smaller part, so the texts are joined with these."""
+    found = written(near_duplicates(docs, doc_id, text).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("stays").alias("_stays"), F.count("*").alias("_n")).filter("not _stays or _n > 1"), "goes")
+    marked = docs.withColumn("_k", F.xxhash64(text))
+    here = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))
+    small = F.broadcast if found.count() <= BROADCAST_SETS else (lambda df: df)
+    once = marked.join(small(found.select("_id", "_key")), here, "left_anti").drop("_k")
+    repeated = found.filter("_stays").select("_id", "_key")
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(marked.join(small(repeated), here, "left_semi").dropDuplicates([doc_id, "_k"]).drop("_k"))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near copies and its number of links."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "stays")

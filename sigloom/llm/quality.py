@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.common import fold_of, table
-from sigloom.llm.ngrams import class_shares
 
 #: The most trusted positives and the most unlabelled texts that the classifier is fitted on.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -153,32 +152,30 @@ def trained(docs: DataFrame, positives: DataFrame, n_unlabelled: int, n_docs: in
     return fit(p, u, prior)
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns in keep and the score of every row."""
-    kinds = dict(docs.dtypes)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+def score_of(spark: SparkSession, model: Model):
+    """A function of a text column: its score."""
+    shipped = spark.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        for b in batches:
-            x = np.array([measures(t) for t in b.column(len(keep)).to_pylist()]).reshape(-1, N_MEASURES)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(m.scores(x), pa.float64())], [*keep, "score"])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(shipped.value.scores(np.array([measures(t) for t in texts.to_pylist()]).reshape(-1, N_MEASURES)), pa.float64())
 
-    return docs.select(*keep, F.col(text).alias("_scored")).mapInArrow(score, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", score double")
+    return score
 
 
-def model_for(spark: SparkSession, sf_dir: str) -> Model:
-    """The classifier of a folder's documents and labels, from the rows outside the held-out fold."""
-    docs = table(spark, sf_dir, "documents").filter(fold_of(F.col("doc_id"), 3) != 1)
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("y"))
-    labels = labels.filter(F.col("doc_id").isNotNull() & (F.col("y") == 1) & (fold_of(F.col("doc_id"), 3) != 1))
-    positives = labels.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES).distinct()
-    return trained(docs, positives, UNLABELLED, docs.count(), class_shares(spark, sf_dir, "quality", 3, 1))
+def model_from(docs: DataFrame, labels: DataFrame) -> Model:
+    """The classifier of documents and labels (doc_id, quality), from the rows outside the held-out fold."""
+    docs = docs.filter(fold_of(F.col("doc_id"), 3) != 1)
+    learn = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), 3) != 1))
+    n, ones = learn.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    positives = learn.filter("y = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES).distinct()
+    return trained(docs, positives, UNLABELLED, docs.count(), (ones + 0.5) / (n + 1))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score."""
-    model = model_for(spark, sf_dir)
-    return scored(table(spark, sf_dir, "documents"), model, ["doc_id"]).select(
+    docs = table(spark, sf_dir, "documents")
+    score = score_of(spark, model_from(docs, table(spark, sf_dir, "labels")))
+    return docs.select("doc_id", score("text").alias("score")).select(
         "doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
