@@ -35,7 +35,7 @@ WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Words longer than this are rare; they are merged one by one.
 LONGEST = 48
 #: Beyond so many distinct words a worker forgets those that it hasn't met since it last did so.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: Ends of one batch of words of a length.
 BATCH = 20_000
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -233,28 +233,25 @@ class Encoder:
         best[0] = 0
         piece, start = np.full((length + 1, n), -1, np.int64), np.zeros((length + 1, n), np.int64)
         for e in range(1, length + 1):
-            rows = np.arange(n)  # the words that still look for candidates at this position
             h = np.zeros(n, np.uint64)
+            ends = []  # for each start the words that have a piece there
             for s in range(e - 1, max(0, e - p.longest) - 1, -1):
-                h = (h + (grown[s] if len(rows) == n else grown[s][rows])) * _MUL
+                h = (h + grown[s]) * _MUL
                 found = p.lookup(h ^ (h >> np.uint64(31)) * _MIX)
                 if s == e - 1:
                     found = np.where(found < 0, -2 - codes[s], found)
-                hit = np.flatnonzero(found != -1)
-                if not len(hit):
-                    continue
-                at, got = rows[hit], found[hit]
-                if p.bpe:
+                at = np.flatnonzero(found != -1)
+                if len(at):
+                    ends.append((s, at, found[at]))
+            open_ = np.ones(n, bool)
+            for s, at, got in reversed(ends):  # the longest first: most often it is the one
+                if p.bpe:  # no word has two that fit
+                    left = open_[at]
+                    at, got = at[left], got[left]
                     if s:
                         ok = self.fits(piece[s][at], got) & (best[s][at] > -np.inf)
-                        hit, at, got = hit[ok], at[ok], got[ok]
-                    best[e, at], piece[e, at], start[e, at] = e, got, s
-                    if len(hit):  # no word has two
-                        left = np.ones(len(rows), bool)
-                        left[hit] = False
-                        rows, h = rows[left], h[left]
-                        if not len(rows):
-                            break
+                        at, got = at[ok], got[ok]
+                    best[e, at], piece[e, at], start[e, at], open_[at] = e, got, s, False
                 else:
                     score = best[s][at] + np.where(got >= 0, p.scores[np.maximum(got, 0)], p.scores.min() - 10)
                     better = score > best[e][at]
@@ -317,7 +314,7 @@ class Encoder:
         if len(self.words) > REMEMBERED:
             self.words, self.older = {}, self.words
         cut = [WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = {w for words in cut for w in words} - self.words.keys()
+        new = set().union(*cut) - self.words.keys()
         for w in new & self.older.keys():
             self.words[w] = self.older[w]
         if new := new - self.words.keys():
@@ -338,7 +335,7 @@ def encoder_for(pieces: Pieces, key: int) -> Encoder:
 
 
 #: Characters that are encoded at once: bounds the memory beside the batch itself.
-AT_ONCE = 2_500_000
+AT_ONCE = 6_000_000
 
 
 def blocks(column: pa.Array, rows: int = 256) -> Iterator[list[str | None]]:
