@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -28,7 +29,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: a cut of the lineage that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def deleted(*tables: DataFrame) -> None:
+    """Removes tables that written() has made and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets go of shuffle files: Spark deletes them once the driver has collected the plans that made them, which by itself may
+    take until long after a job of many steps has filled the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fold_of(doc_id: Column, k: int) -> Column:

@@ -5,7 +5,7 @@ Texts are sets of word 5-grams; two texts are linked if their sets' Jaccard simi
 1. Every set draws paths: in each run it picks the tokens whose hash is under a bound of a few over its size, below each of
    these picks again with a hash that depends on the path, and so on. Similar sets share picks, so with good chance a path.
    Sets with equal content are one set from here on, with a weight.
-2. A path's bucket that is small is compared by brute force, on sketches of 128 bytes, with a bound so loose that linked pairs
+2. A path's bucket that is small is compared by brute force, on sketches of 64 bytes, with a bound so loose that linked pairs
    pass; a larger one is split by the paths' next level, and one still larger at the last level is cut into blocks whose
    pairs are all compared. The number of runs follows from the target recall.
    Runs come in a few parts, each after the components of those before it.
@@ -31,14 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import table, written
+from sigloom.llm.common import deleted, released, table, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: Picks expected per set and level; levels; the recall that the number of runs is chosen for.
 PICKS, LEVELS, RECALL = 1.5, 3, 0.9995
 #: The most sets of a bucket that is compared at once; sets of a block in the exact comparison.
 BUCKET, BLOCK = 256, 256
-BINS = 128
+BINS = 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64), dtype=np.uint64)
 _TURNS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(1, 1 + WORDS)], np.uint64)
@@ -100,7 +100,7 @@ def sketch(own: np.ndarray) -> bytes:
     """For each of BINS ranges of hashes a byte of the smallest one there, 0 where there is none."""
     out = np.zeros(BINS, np.uint8)
     if len(own):
-        bins = (own >> np.uint64(57)).astype(np.int64)
+        bins = (own >> np.uint64(58)).astype(np.int64)
         first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
         out[bins[first]] = (own[first] * _A >> np.uint64(56)) % np.uint64(255) + np.uint64(1)
     return out.tobytes()
@@ -242,10 +242,13 @@ def linked_in_blocks(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
     flat, ends = np.asarray(lists.values), np.asarray(lists.offsets)
     n = t.num_rows
     links, root = np.zeros(n, np.int64), np.arange(n)
+    names = _chunk(t, "sid").to_pylist()
+    fresh = np.array([k == 0 or names[k] != names[k - 1] for k in range(n)], bool)  # a repeated row brings its set again
     at = np.append(at[at < n], n)
     for lo, hi in zip(at[:-1], at[1:]):
-        one = np.arange(lo, hi) if side[lo] == 2 else np.arange(lo, hi)[side[lo:hi] == 0]
-        two = None if side[lo] == 2 else np.arange(lo, hi)[side[lo:hi] == 1]
+        all_ = lo + np.flatnonzero(fresh[lo:hi] | (np.arange(lo, hi) == lo))
+        one = all_ if side[lo] == 2 else all_[side[all_] == 0]
+        two = None if side[lo] == 2 else all_[side[all_] == 1]
         if not len(one) or two is not None and not len(two):
             continue
         sets = lambda rows: [flat[ends[r] : ends[r + 1]] for r in rows]
@@ -277,26 +280,41 @@ def halves(rows: DataFrame, key: list[str], size: str, most: int) -> DataFrame:
     return rows.withColumn("_p", F.explode(pair)).select(*rows.columns[:-2], "_p.*")
 
 
+def listed(rows: DataFrame, most: int):
+    """F.broadcast for a table of at most `most` rows, else nothing: then both sides of the join are shuffled."""
+    return F.broadcast if rows.count() <= most else (lambda df: df)
+
+
 def buckets(rows: DataFrame, runs: tuple[int, int]) -> DataFrame:
-    """bucket, sid, size of the runs' buckets with more than one set: the small ones of each level, and what is left of the last."""
-    lines = rows.select("sid", F.explode("paths").alias("p")).filter(F.col("p.run").between(*runs)).select("sid", F.col("p.head").alias("bucket"), "p.rest").dropDuplicates(["bucket", "sid"])
-    out = None
+    """bucket, sid, size of the runs' buckets with more than one set: the small ones of each level, and what is left of the last.
+
+    Only path numbers and keys are counted; the deeper paths of a set are looked at if its first level's bucket is large.
+    """
+    lines = rows.select("sid", F.explode("paths").alias("p")).filter(F.col("p.run").between(*runs))
+    here, out = lines.select("sid", F.col("p.head").alias("bucket")).distinct(), None
+    deeper = lines.select("sid", F.col("p.head").alias("bucket"), "p.rest")
     for level in range(LEVELS):
-        count = lines.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+        count = here.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
         last = level == LEVELS - 1
-        mine = lines.select("sid", "bucket").join(count if last else count.filter(F.col("size") <= BUCKET), "bucket")
+        mine = here.join(count if last else count.filter(F.col("size") <= BUCKET), "bucket")
         out = mine if out is None else out.unionByName(mine)
-        if not last:
-            large = lines.join(count.filter(F.col("size") > BUCKET).select("bucket"), "bucket", "left_semi")
-            width = LEVELS - 1 - level
-            parts = F.expr(f"transform(sequence(1, size(rest) div {width}), k -> slice(rest, (k - 1) * {width} + 1, {width}))")
-            lines = large.filter("size(rest) > 0").select("sid", F.explode(parts).alias("q")).select("sid", F.col("q")[0].alias("bucket"), F.slice("q", 2, max(1, width - 1)).alias("rest")).filter("bucket <> 0")
-            lines = lines.groupBy("bucket", "sid").agg(F.flatten(F.collect_list("rest")).alias("rest"))
+        if last:
+            break
+        large = written(count.filter(F.col("size") > BUCKET).select("bucket"), "large")
+        if large.isEmpty():
+            break
+        width = LEVELS - 1 - level
+        parts = F.expr(f"transform(sequence(1, size(rest) div {width}), k -> slice(rest, (k - 1) * {width} + 1, {width}))")
+        deeper = deeper.join(listed(large, BROADCAST_BUCKETS)(large), "bucket", "left_semi").filter("size(rest) > 0")
+        deeper = deeper.select("sid", F.explode(parts).alias("q")).select("sid", F.col("q")[0].alias("bucket"), F.slice("q", 2, max(1, width - 1)).alias("rest")).filter("bucket <> 0")
+        here = deeper.select("sid", "bucket").distinct()
     return out
 
 
 #: Into how many parts the runs are divided; a set that one part has linked isn't linked to the same component again.
-ROUNDS = (2, 6)
+ROUNDS = (2,)
+#: Up to so many large buckets their numbers (16 bytes a row) are broadcast to the paths; beyond, both are shuffled.
+BROADCAST_BUCKETS = 1_000_000
 #: Up to so many sets with candidates their table (under 100 bytes a row) is broadcast to the texts; beyond, both are shuffled.
 BROADCAST_SETS = 400_000
 
@@ -314,37 +332,37 @@ def components(edges: DataFrame) -> DataFrame:
         step = roots_.join(seen, "node").select("node", F.least("root", "low").alias("mid"), F.col("root").alias("was"))
         up = roots_.select(F.col("node").alias("mid"), F.col("root").alias("up"))
         new = written(step.join(up, "mid").select("node", F.least("mid", "up").alias("root"), "was"), "roots")
+        moved = not new.filter("root <> was").isEmpty()
+        deleted(roots_)
         roots_ = new.select("node", "root")
-        if new.filter("root <> was").isEmpty():
+        roots_.written_to = new.written_to
+        if not moved:
+            deleted(both)
             return roots_
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, rep_id (smallest id with an equal set), n_tokens, text_key (a hash of the text) and stays (true for
-    the rows of the class's first document by id and key) of every row of docs."""
-    spark = docs.sparkSession
-    runs = runs_for(recall)
-    rows = written(drawn(docs, doc_id, text, runs), "drawn")
-    first = F.min(F.struct("doc_id", "text_key"))
-    sets = rows.groupBy("sid").agg(F.count("*").alias("weight"), first.alias("carrier"), F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    sets = written(sets, "sets")
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    sort = lambda df, *keys: df.repartition(int(parts), *keys).sortWithinPartitions(*keys, "sid")
-    near = None
-    bounds = [0, *[k for k in ROUNDS if k < runs], runs]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        found = buckets(rows, (lo, hi - 1)).join(sets.select("sid", "n", "sketch"), "sid")
-        if near is None:
-            found = found.withColumn("comp", F.col("sid"))
-        else:
-            found = found.join(near.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
-        found = halves(found, ["bucket"], "size", BUCKET).select("bucket", "i", "j", "side", "sid", "n", "sketch", "comp")
-        edges = sort(found, "bucket", "i", "j").mapInArrow(lambda b: by_group(b, ["bucket", "i", "j"], near_in_buckets), "a binary, b binary")
-        near = components(edges if near is None else edges.union(near.filter("node <> root").select("root", "node")))
+def sorted_by(df: DataFrame, *keys: str) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "sid")
+
+
+def after_runs(rows: DataFrame, sets: DataFrame, near: DataFrame | None, runs: tuple[int, int]) -> DataFrame:
+    """Components (node, root) after these runs, given those of earlier ones."""
+    found = buckets(rows, runs).join(sets.select("sid", "n", "sketch"), "sid")
+    if near is None:
+        found = found.withColumn("comp", F.col("sid"))
+    else:
+        found = found.join(near.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+    found = halves(found, ["bucket"], "size", BUCKET).select("bucket", "i", "j", "side", "sid", "n", "sketch", "comp")
+    edges = sorted_by(found, "bucket", "i", "j").mapInArrow(lambda b: by_group(b, ["bucket", "i", "j"], near_in_buckets), "a binary, b binary")
+    return components(edges if near is None else edges.union(near.filter("node <> root").select("root", "node")))
+
+
+def exact_links(docs: DataFrame, sets: DataFrame, near: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """sid, root, links: within each component, per block or pair of blocks."""
     size = near.groupBy("root").agg(F.count("*").alias("size"))
-    mine = near.join(size, "root").join(sets.select(F.col("sid").alias("node"), "weight", "carrier"), "node").select(F.col("node").alias("sid"), F.col("root").alias("comp"), "size", "weight", F.col("carrier.doc_id").alias("_id"), F.col("carrier.text_key").alias("_key"))
-    if near.count() <= BROADCAST_SETS:
-        mine = F.broadcast(mine)
+    mine = near.join(size, "root").join(sets.select(F.col("sid").alias("node"), "weight", "carrier"), "node")
+    mine = mine.select(F.col("node").alias("sid"), F.col("root").alias("comp"), "size", "weight", F.col("carrier.doc_id").alias("_id"), F.col("carrier.text_key").alias("_key"))
+    mine = listed(near, BROADCAST_SETS)(mine)
     texts = docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_text_key"), F.col(text).alias("_text"))
     held = texts.join(mine, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))).select("comp", "sid", "size", "weight", "_text")
 
@@ -353,18 +371,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             lists = pa.array([tokens(t).view(np.int64) for t in b.column(4).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], lists], ["comp", "sid", "size", "weight", "tokens"])
 
-    held = held.mapInArrow(tokenised, "comp binary, sid binary, size long, weight long, tokens array<long>").dropDuplicates(["sid"])
+    held = held.mapInArrow(tokenised, "comp binary, sid binary, size long, weight long, tokens array<long>")
     blocks = halves(held, ["comp"], "size", BLOCK).select("comp", "i", "j", "side", "sid", "weight", "tokens")
-    exact = sort(blocks, "comp", "i", "j").mapInArrow(lambda b: by_group(b, ["comp", "i", "j"], linked_in_blocks), "sid binary, root binary, links long")
-    exact = written(exact, "exact")
+    return written(sorted_by(blocks, "comp", "i", "j").mapInArrow(lambda b: by_group(b, ["comp", "i", "j"], linked_in_blocks), "sid binary, root binary, links long"), "exact")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links, rep_id (smallest id with an equal set), n_tokens, text_key (a hash of the text) and stays (true for
+    the rows of the class's first document by id and key) of every row of docs."""
+    spark, runs = docs.sparkSession, runs_for(recall)
+    rows = written(drawn(docs, doc_id, text, runs), "drawn")
+    first = F.min(F.struct("doc_id", "text_key"))
+    sets = written(rows.groupBy("sid").agg(F.count("*").alias("weight"), first.alias("carrier"), F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
+    near, bounds = None, [0, *[k for k in ROUNDS if k < runs], runs]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        near = after_runs(rows, sets, near, (lo, hi - 1))
+        released(spark)
+    members = written(rows.select("doc_id", "text_key", "sid", F.col("n").alias("n_tokens")), "members")
+    deleted(rows)
+    exact = exact_links(docs, sets, near, doc_id, text)
     classes = components(exact.filter("root <> sid").select(F.col("root").alias("a"), F.col("sid").alias("b")))
     links = exact.groupBy("sid").agg(F.sum("links").alias("links"))
     placed = sets.select("sid", "weight", "rep_id", "carrier").join(links, "sid", "left").join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     placed = written(placed, "placed")
+    deleted(sets, exact, near, classes)
+    released(spark)
     ids = placed.groupBy("root").agg(F.min("rep_id").alias("class_id"), F.min("carrier").alias("first"))
     result = placed.join(ids, "root").select("sid", "class_id", "rep_id", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
-    return rows.select("doc_id", "text_key", "sid", F.col("n").alias("n_tokens")).join(result, "sid").select("doc_id", "class_id", "n_links", "rep_id", "n_tokens", "text_key", stays.alias("stays"))
+    return members.join(result, "sid").select("doc_id", "class_id", "n_links", "rep_id", "n_tokens", "text_key", stays.alias("stays"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
