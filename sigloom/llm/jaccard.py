@@ -37,7 +37,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Picks expected per set and level; levels; the recall that the number of runs is chosen for.
 PICKS, LEVELS, RECALL = 1.5, 3, 0.9995
 #: The most sets of a bucket that is compared at once; sets of a block in the exact comparison.
-BUCKET, BLOCK = 256, 256
+BUCKET, BLOCK = 1024, 256
 BINS = 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64), dtype=np.uint64)
