@@ -87,10 +87,11 @@ def date_code(date: Column) -> Column:
 
 
 def date_of_code(code: Column) -> Column:
-    """The date of a date code (a leading D is ignored) or of eight digits."""
+    """The date of a date code (a leading D is ignored; years from 70 are of the last century) or of eight digits."""
     code = F.regexp_replace(code, "^[Dd]", "")
     md = F.conv(F.substring(code, 3, 10), 36, 10).cast("int")
-    coded = F.make_date(F.lit(2000) + F.substring(code, 1, 2).cast("int"), F.floor(md / 100).cast("int"), md % 100)
+    year = F.substring(code, 1, 2).cast("int")
+    coded = F.make_date(year + F.when(year >= 70, 1900).otherwise(2000), F.floor(md / 100).cast("int"), md % 100)
     return F.when(code.rlike(r"^\d{8}$"), F.to_date(code, "yyyyMMdd")).otherwise(coded)
 
 
