@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import deleted, released, table, written
+from sigloom.llm.common import deleted, released, table, thrifty, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: Picks expected per set and level; levels; the recall that the number of runs is chosen for.
@@ -110,6 +110,7 @@ def drawn(docs: DataFrame, doc_id: str, text: str, runs: int) -> DataFrame:
     """Each row's set: its key, size, sketch and paths. Sets under four tokens are linked to equal ones only, so have no paths."""
     kind = dict(docs.dtypes)[doc_id]
 
+    @thrifty
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, sizes, sketches, heads, of_run, rest, rest_ends, ends = [], [], [], [], [], [], [0], [0]
@@ -353,7 +354,7 @@ def after_runs(rows: DataFrame, sets: DataFrame, near: DataFrame | None, runs: t
     else:
         found = found.join(near.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
     found = halves(found, ["bucket"], "size", BUCKET).select("bucket", "i", "j", "side", "sid", "n", "sketch", "comp")
-    edges = sorted_by(found, "bucket", "i", "j").mapInArrow(lambda b: by_group(b, ["bucket", "i", "j"], near_in_buckets), "a binary, b binary")
+    edges = sorted_by(found, "bucket", "i", "j").mapInArrow(thrifty(lambda b: by_group(b, ["bucket", "i", "j"], near_in_buckets)), "a binary, b binary")
     return components(edges if near is None else edges.union(near.filter("node <> root").select("root", "node")))
 
 
@@ -366,6 +367,7 @@ def exact_links(docs: DataFrame, sets: DataFrame, near: DataFrame, doc_id: str,
     texts = docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_text_key"), F.col(text).alias("_text"))
     held = texts.join(mine, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))).select("comp", "sid", "size", "weight", "_text")
 
+    @thrifty
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = pa.array([tokens(t).view(np.int64) for t in b.column(4).to_pylist()], pa.list_(pa.int64()))
@@ -373,7 +375,7 @@ def exact_links(docs: DataFrame, sets: DataFrame, near: DataFrame, doc_id: str,
 
     held = held.mapInArrow(tokenised, "comp binary, sid binary, size long, weight long, tokens array<long>")
     blocks = halves(held, ["comp"], "size", BLOCK).select("comp", "i", "j", "side", "sid", "weight", "tokens")
-    return written(sorted_by(blocks, "comp", "i", "j").mapInArrow(lambda b: by_group(b, ["comp", "i", "j"], linked_in_blocks), "sid binary, root binary, links long"), "exact")
+    return written(sorted_by(blocks, "comp", "i", "j").mapInArrow(thrifty(lambda b: by_group(b, ["comp", "i", "j"], linked_in_blocks)), "sid binary, root binary, links long"), "exact")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", recall: float = RECALL) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import fold_of, table
+from sigloom.llm.common import fold_of, table, thrifty
 from sigloom.llm.ngrams import hashed
 
 ORDERS, BITS = (1, 2, 3), 15
@@ -116,6 +116,7 @@ def fit(texts: list[str | None], langs: list[str], idf: np.ndarray, alpha: float
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
     """Texts that hold each bucket, and texts in all. Each task adds up its own; 2**BITS sums come to the driver."""
 
+    @thrifty
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
         for b in batches:
@@ -161,6 +162,7 @@ def predicted(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     kind = dict(docs.dtypes)[doc_id]
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
+    @thrifty
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for b in batches:

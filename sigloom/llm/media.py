@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import table, written
+from sigloom.llm.common import table, thrifty, written
 
 WIDTH = 192
 ITEM = "struct<position:int,kind:string,text:string,ref:string,caption:string>"
@@ -97,6 +97,7 @@ def sequences(pages: DataFrame, page_id: str = "page_id", html: str = "html") ->
     kind = dict(pages.dtypes)[page_id]
     item = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
 
+    @thrifty
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             items = pa.array([parse(x) for x in b.column(1).to_pylist()], pa.list_(item))
@@ -152,6 +153,7 @@ def stored_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     """Each text stored as an image, and what is read back from the stored bytes; with keep_media also those bytes."""
     kind = dict(docs.dtypes)[doc_id]
 
+    @thrifty
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []

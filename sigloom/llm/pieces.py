@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import table
+from sigloom.llm.common import table, thrifty
 
 BLANK = "▁"
 WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -357,6 +357,7 @@ def encoded(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
     shipped = docs.sparkSession.sparkContext.broadcast(pieces)
     names = ["doc_id", "ids", "n_ids", *["decoded_sha256", "round_trip"] * check]
 
+    @thrifty
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder_for(shipped.value, id(shipped.value))
         for b in batches:

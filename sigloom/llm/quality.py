@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import fold_of, table
+from sigloom.llm.common import fold_of, give_back, table, thrifty
 
 #: The most trusted positives and the most unlabelled texts that the classifier is fitted on.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -130,6 +130,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns in keep and x, the measures of each text."""
     kinds = dict(docs.dtypes)
 
+    @thrifty
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [measures(t) for t in b.column(len(keep)).to_pylist()]
@@ -157,8 +158,11 @@ def score_of(spark: SparkSession, model: Model):
     shipped = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array(shipped.value.scores(np.array([measures(t) for t in texts.to_pylist()]).reshape(-1, N_MEASURES)), pa.float64())
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            rows = [measures(t) for at in range(0, len(column), 256) for t in column.slice(at, 256).to_pylist()]
+            yield pa.array(shipped.value.scores(np.array(rows).reshape(-1, N_MEASURES)), pa.float64())
+        give_back()
 
     return score
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import fold_of, table
+from sigloom.llm.common import fold_of, table, thrifty
 from sigloom.llm.ngrams import class_shares, distinct_buckets, labelled_sample
 
 ORDERS, BITS = (3, 4, 5), 18
@@ -69,7 +69,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, share: float, l2: float = 1e-3, r
         v -= step * (m1 / up) / (np.sqrt(m2 / down) + 1e-9)
         b -= step * (c1 / up) / (np.sqrt(c2 / down) + 1e-9)
     full = v * r
-    full[np.abs(full) < 0.01 * np.abs(full).max()] = 0
+    full[np.abs(full) < 0.01 * np.abs(full).max(initial=0)] = 0
     weights[mine] = full
     return Model(weights, float(b))
 
@@ -77,6 +77,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, share: float, l2: float = 1e-3, r
 def bucket_rows(docs: DataFrame) -> DataFrame:
     """y and the distinct buckets of each text of docs (y, text)."""
 
+    @thrifty
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [distinct_buckets(t, ORDERS, BITS) for t in b.column(1).to_pylist()]
@@ -98,6 +99,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     kind = dict(docs.dtypes)[doc_id]
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
+    @thrifty
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for b in batches:
