@@ -78,3 +78,63 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).filter("segment = 1 and channel = 'b'").count() == 1
     assert sinks.merged_by_rate(df, ["a", "b", "c"]).count() == 2
     assert sinks.save_if_changed(df, str(tmp_path), "v") and not sinks.save_if_changed(df, str(tmp_path), "v")
+
+
+def write_nicolet(path):
+    """Two segments of two seconds, channels A (4 Hz) and B (2 Hz) whose samples lie in two sections each, and two events."""
+    import uuid
+
+    from sigloom.sources import nicolet as n
+
+    w = lambda s, size: s.encode("utf-16-le").ljust(size, b"\0")
+    chan = lambda name, ref, fs, scale: (w(name, 64) + b"\0" * 128 + w(ref, 8) + b"\0" * 56 + struct.pack("<4d", 0.5, 30, fs, scale)).ljust(552, b"\0")
+    channels = b"\0" * 752 + struct.pack("<II", 2, 2) + chan("A", "R", 4.0, 0.5) + chan("B", "R", 2.0, 2.0)
+    segs = b"".join(struct.pack("<3d", day, 0, 2.0).ljust(152, b"\0") for day in (45000.0, 45000.5))
+    packet = uuid.UUID(n.CHANNELS_GUID).bytes_le + struct.pack("<2d2Q", 1.0, 0, 0, len(channels))
+
+    def event(kind, day, text):
+        body = n.EVENT_GUID.bytes_le + b"\0" * 8 + b"\0" * 8 + struct.pack("<3d", day, 3.0, 1.5) + b"\0" * 48 + w("me", 24) + struct.pack("<Q", len(text)) + uuid.UUID(kind).bytes_le + b"\0" * 16 + w("lab", 64) + b"\0" * 32 + w(text, 2 * len(text))
+        return body[:16] + struct.pack("<Q", len(body)) + body[24:]
+
+    kinds = list(n.EVENTS)
+    a, b = np.arange(16, dtype="<i2"), np.arange(100, 108, dtype="<i2")
+    parts = {
+        "InfoChangeStream": [packet], "SegmentStream": [segs], n.CHANNELS_GUID: [channels],
+        "Events": [event(kinds[0], 45000.25, "Eyes OPEN") + event(kinds[1], 45000.75, "")], "0": [a[:5].tobytes(), a[5:].tobytes()], "1": [b[:3].tobytes(), b[3:].tobytes()],
+    }
+    out = bytearray(n.ENTRIES_AT + 64)
+    entries, tags = [], {}
+    for k, (tag, blobs) in enumerate(parts.items()):
+        tags[tag] = k
+        for blob in blobs:
+            entries.append((k, len(out), 0, len(blob)))
+            out += blob
+    struct.pack_into("<I", out, n.TAGS_AT, len(tags))
+    for k, (tag, number) in enumerate(tags.items()):
+        out[n.TAGS_AT + 4 + 84 * k : n.TAGS_AT + 88 + 84 * k] = w(tag, 80) + struct.pack("<I", number)
+    struct.pack_into("<I", out, n.ENTRIES_AT, len(entries))
+    struct.pack_into("<I", out, n.INDEX_AT, len(out))
+    first = entries[:4]
+    second_at = len(out) + 8 + 24 * len(first) + 8
+    out += struct.pack("<Q", len(first)) + b"".join(struct.pack("<QQII", *e) for e in first) + struct.pack("<Q", second_at)
+    out += struct.pack("<Q", len(entries) - 4) + b"".join(struct.pack("<QQII", *e) for e in entries[4:]) + struct.pack("<Q", 0)
+    path.write_bytes(bytes(out))
+
+
+def test_nicolet(spark, tmp_path):
+    from sigloom.sources import nicolet as n
+
+    write_nicolet(tmp_path / "x.e")
+    p = str(tmp_path / "x.e")
+    heads = n.segments(spark, p)
+    assert heads.count() == 4 and {(r["channel"], r["fs"], r["n"]) for r in heads.collect()} == {("A", 4.0, 8), ("B", 2.0, 4)}
+    got = {(r["segment"], r["channel"]): r["values"] for r in n.read(spark, p).collect()}
+    assert got[1, "A"] == [k * 0.5 for k in range(8)] and got[2, "A"] == [k * 0.5 for k in range(8, 16)] and got[2, "B"] == [2.0 * k for k in range(104, 108)]
+    cut = n.read(spark, p, [2], ["a"], 0.5, 1.5).collect()
+    assert len(cut) == 1 and cut[0]["values"] == [k * 0.5 for k in range(10, 14)]
+    found = n.annotations(n.events(spark, p), heads, "eyes open").collect()
+    assert len(found) == 1 and found[0]["segment"] == 1 and found[0]["offset"] == 0.25 * 86400 + 3 and found[0]["user"] == "me"
+    assert [r["kind"] for r in n.events(spark, p).orderBy("time").collect()] == ["Annotation", "Seizure"]
+    start = heads.filter("segment = 2").first()["start"]
+    around = {r["channel"]: r["values"] for r in n.retrieve(n.read(spark, p), start + 1, 0.5, 0.5, exclude="^B").collect()}
+    assert around == {"A": [k * 0.5 for k in range(10, 14)]}
