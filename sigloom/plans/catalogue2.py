@@ -618,3 +618,65 @@ def surrogate_r2(spark, d):
 def robust_regression(spark, d):
     b = regress.robust(load(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice")
     return spark.createDataFrame([(t, round(float(v), 4)) for t, v in zip(["l_quantity", "const"], b)], "term string, value double")
+
+
+# --- streams: events replayed by a file source until all is read ------------------------------------
+
+
+def replayed(spark, d):
+    from pyspark.sql.types import StructType
+
+    schema: StructType = load(spark, d, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern: the path may be one file.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def drained(stream, mode: str):
+    """Runs a stream over what is there, in the shared checkpoint folder, and returns the rows of its sink."""
+    import uuid
+
+    name = f"s{uuid.uuid4().hex}"
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+@query("""
+select event_type ch, time_bucket(interval '6 hours', ts) w, count(*) n, round(avg(value), 6) mean, round(max(value) - min(value), 6) p2p from events group by 1, 2
+""")
+def stream_tumbling(spark, d):
+    from sigloom.streaming import live
+
+    out = drained(live.tumbling(replayed(spark, d).withColumnRenamed("event_type", "ch"), "ts", "6 hours", ["ch"]), "complete")
+    return out.select("ch", F.col("window.start").cast("timestamp_ntz").alias("w"), "n", r6("mean").alias("mean"), r6("p2p").alias("p2p"))
+
+
+@query("""
+with e as (select user_id u, ts, value, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '6 hours' then 0 else 1 end brk from events), g as (select *, sum(brk) over (partition by u order by ts rows unbounded preceding) k from e)
+select u, min(ts) a, count(*) n, round(sum(value), 6) total from g group by u, k
+""")
+def session_windows(spark, d):
+    from sigloom.streaming import live
+
+    e = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumnRenamed("user_id", "u")
+    return live.sessions(e, "ts", "6 hours", ["u"]).select("u", F.col("session_window.start").cast("timestamp_ntz").alias("a"), "n", r6("total").alias("total"))
+
+
+@query("""
+with s as (select event_type ch, event_id n, value, row_number() over (partition by event_type order by event_id) i from events where event_id % 13 <> 0) select ch, n sample_no from s
+""")
+def stream_iir(spark, d):
+    """Which samples the stateful filter passes on (its values are held against the batch filter in the tests)."""
+    from sigloom.streaming import live
+
+    s = replayed(spark, d).select(F.col("event_type").alias("channel"), F.col("event_id").alias("sample_no"), F.when(F.col("event_id") % 13 == 0, 0).otherwise(2).alias("status"), "value")
+    return drained(live.filtered(s, dsp.butterworth(2, 8.0, 128.0)), "append").select(F.col("channel").alias("ch"), "sample_no")
+
+
+@query("""
+with s as (select event_type ch, event_id, lag(event_id) over (partition by event_type order by event_id) p from events) select ch, cast(sum(case when event_id - p not in (1, -63) then 1 else 0 end) as bigint) lost, count(*) n from s group by ch
+""")
+def packet_loss(spark, d):
+    from sigloom.streaming import live
+
+    s = load(spark, d, "events").select(F.col("event_type").alias("ch"), F.col("event_id").alias("diag"), "event_id")
+    return live.packet_loss(s, ["ch"], "event_id").select("ch", F.col("lost").cast("long").alias("lost"), "n")
