@@ -342,9 +342,9 @@ def byte_text(spark, d):
     return load(spark, d, "orders").select(k.alias("k"), timecodec.byte_text(b).alias("txt"))
 
 
-@query("select page_id, list_filter(regexp_split_to_array(url, '[/:.?&=-]+'), lambda x: x <> '') parts, string_split(url, '/')[3] host from pages")
+@query("select page_id, array_to_string(list_filter(regexp_split_to_array(url, '[/:.?&=-]+'), lambda x: x <> ''), '|') parts, string_split(url, '/')[3] host from pages")
 def tokens(spark, d):
-    return load(spark, d, "pages").select("page_id", textcodec.tokens(F.col("url"), "/:.?&=-").alias("parts"), textcodec.token(F.col("url"), "/", 3).alias("host"))
+    return load(spark, d, "pages").select("page_id", textcodec.joined(textcodec.tokens(F.col("url"), "/:.?&=-"), "|").alias("parts"), textcodec.token(F.col("url"), "/", 3).alias("host"))
 
 
 @query("select event_id, (props->>'$.k')::double n, (props->>'$.k')::double + 1 m from events")
@@ -422,7 +422,10 @@ def chan_mask(spark, d):
     return channels.mask(p, p.filter("pos % 50 = 0").select("name")).select("pos", "wanted")
 
 
-@query()
+@query("""
+with m as (select * from (values ('10-20 (19)', 'Fp1 Fp2 F7 F3 Fz F4 F8 T7 C3 Cz C4 T8 P7 P3 Pz P4 P8 O1 O2'), ('central (9)', 'FC3 FCz FC4 C3 Cz C4 CP3 CPz CP4'), ('EMG (8)', 'emg1 emg2 emg3 emg4 emg5 emg6 emg7 emg8')) t(montage, n)),
+x as (select montage, unnest(string_split(n, ' ')) channel, unnest(range(1, len(string_split(n, ' ')) + 1)) p from m) select montage, cast(p as int) "position", channel from x
+""")
 def montage_rows(spark, d):
     return channels.montage_table(spark)
 
