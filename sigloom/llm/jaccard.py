@@ -37,7 +37,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Picks expected per set and level; levels; the recall that the number of runs is chosen for.
 PICKS, LEVELS, RECALL = 1.5, 3, 0.9995
 #: The most sets of a bucket that is compared at once; sets of a block in the exact comparison.
-BUCKET, BLOCK = 1024, 256
+BUCKET, BLOCK = 4096, 256
 BINS = 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64), dtype=np.uint64)
@@ -306,8 +306,9 @@ def buckets(rows: DataFrame, runs: tuple[int, int]) -> DataFrame:
             break
         width = LEVELS - 1 - level
         parts = F.expr(f"transform(sequence(1, size(rest) div {width}), k -> slice(rest, (k - 1) * {width} + 1, {width}))")
-        deeper = deeper.join(listed(large, BROADCAST_BUCKETS)(large), "bucket", "left_semi").filter("size(rest) > 0")
+        deeper = deeper.join(listed(large, BROADCAST_BUCKETS)(large), "bucket", "left_semi").filter("size(rest) > 0").dropDuplicates(["bucket", "sid"])
         deeper = deeper.select("sid", F.explode(parts).alias("q")).select("sid", F.col("q")[0].alias("bucket"), F.slice("q", 2, max(1, width - 1)).alias("rest")).filter("bucket <> 0")
+        deeper = written(deeper, "deeper")  # once, not again for each count and join below
         here = deeper.select("sid", "bucket").distinct()
     return out
 
