@@ -124,12 +124,11 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
 
 
 def rate(p: Column, steps: list[list[float]]) -> Column:
-    """A document's rate after these steps, from 1."""
-    if not steps:
-        return F.lit(1.0)
-    start, moves = F.lit(1.0), F.array(*[F.array(*map(F.lit, y)) for y in steps])
-    dot = lambda y: F.aggregate(F.zip_with(p, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return F.aggregate(moves, start, lambda r, y: F.greatest(F.lit(0.0), r - dot(y)))
+    """A document's rate after these steps, from 1: one arithmetic expression, which Spark compiles, however many steps there are."""
+    r = F.lit(1.0)
+    for y in steps:
+        r = F.greatest(F.lit(0.0), r - sum((p[k] * v for k, v in enumerate(y)), F.lit(0.0)))
+    return r
 
 
 def fitted(rows: DataFrame, target: dict[str, float], total: float | None = None, rounds: int = 60, close: float = 1e-4) -> list[list[float]]:
