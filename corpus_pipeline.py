@@ -49,8 +49,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's piece ids, and whether they decode to its text."""
-    return pieces.encoded(docs, pieces.Pieces.load(pieces.model_path()))
+    """Every document's piece ids, and whether they decode to its text. The executors still hold memory of the stages before, so
+    workers remember fewer words and take fewer characters at once than they could."""
+    return pieces.encoded(docs, pieces.Pieces.load(pieces.model_path()), remembered=50_000, at_once=1_000_000)
 
 
 STAGES = [

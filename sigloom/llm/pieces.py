@@ -203,8 +203,8 @@ class Pieces:
 class Encoder:
     """Encodes texts with a memory of words; one per worker."""
 
-    def __init__(self, pieces: Pieces) -> None:
-        self.p = pieces
+    def __init__(self, pieces: Pieces, remembered: int = REMEMBERED) -> None:
+        self.p, self.remembered = pieces, remembered
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -311,7 +311,7 @@ class Encoder:
         return [t for t, a in zip(text, alive) if a]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > self.remembered:
             self.words, self.older = {}, self.words
         cut = [WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         new = set().union(*cut) - self.words.keys()
@@ -326,11 +326,11 @@ class Encoder:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def encoder_for(pieces: Pieces, key: int) -> Encoder:
+def encoder_for(pieces: Pieces, key: int, remembered: int) -> Encoder:
     """The worker's encoder of a broadcast model: words stay known from task to task."""
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(pieces)
+        _ENCODERS[key] = Encoder(pieces, remembered)
     return _ENCODERS[key]
 
 
@@ -338,31 +338,34 @@ def encoder_for(pieces: Pieces, key: int) -> Encoder:
 AT_ONCE = 6_000_000
 
 
-def blocks(column: pa.Array, rows: int = 256) -> Iterator[list[str | None]]:
+def blocks(column: pa.Array, at_once: int = AT_ONCE, rows: int = 256) -> Iterator[list[str | None]]:
     """A column's texts, some at a time."""
     block, size = [], 0
     for at in range(0, len(column), rows):
         block += column.slice(at, rows).to_pylist()
         size = sum(len(t or "") for t in block)
-        if size > AT_ONCE:
+        if size > at_once:
             yield block
             block = []
     if block:
         yield block
 
 
-def encoded(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", check: bool = True) -> DataFrame:
-    """doc_id, ids, n_ids and, with check, what the ids decode to: its SHA-256 and whether it is the text."""
+def encoded(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", check: bool = True, remembered: int = REMEMBERED, at_once: int = AT_ONCE) -> DataFrame:
+    """doc_id, ids, n_ids and, with check, what the ids decode to: its SHA-256 and whether it is the text.
+
+    remembered (words) and at_once (characters) bound a worker's memory; smaller ones cost time, not results.
+    """
     kind = dict(docs.dtypes)[doc_id]
     shipped = docs.sparkSession.sparkContext.broadcast(pieces)
     names = ["doc_id", "ids", "n_ids", *["decoded_sha256", "round_trip"] * check]
 
     @thrifty
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder_for(shipped.value, id(shipped.value))
+        own = encoder_for(shipped.value, id(shipped.value), remembered)
         for b in batches:
             at = 0
-            for block in blocks(b.column(1)):
+            for block in blocks(b.column(1), at_once):
                 ids = own.encode(block)
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
