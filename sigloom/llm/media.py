@@ -183,7 +183,8 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<article><h1>Document</h1><figure><img src=\"sha256:"), "digest", F.lit('" alt="whole text"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure><p>End.</p></article>")
     )
     pages = rows.select(F.col("doc_id").alias("page_id"), page.alias("html"))
-    media = rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature")])
+    # written, so that the join's both sides are plain shuffles, whose partitions Spark splits where one payload is in very many pages
+    media = written(rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature")]), "media")
     found = resolved(sequences(pages), media).filter("kind = 'media'")
     return found.select(
         F.col("page_id").alias("doc_id"), F.split("caption", " ")[0].cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("ref_digest").alias("media_sha256"), "feature", "position", "caption",
