@@ -54,12 +54,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here where it is unset (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine serves in local mode
+    (tests); elsewhere that is an error, since executors wouldn't see one another's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "checkpoints", "sigloom")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "checkpoints", "sigloom")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
