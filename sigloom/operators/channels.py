@@ -103,3 +103,9 @@ def amplifier_channels(spark: SparkSession, names: Sequence[str], per_amplifier:
     amp = F.when(F.col("position") <= per_amplifier, "A").otherwise("B")
     number = F.when(F.col("position") <= per_amplifier, F.col("position")).otherwise(F.col("position") - per_amplifier)
     return df.select("position", F.coalesce(F.nullif(word, F.lit("")), F.concat(amp, number.cast("string"))).alias("name"))
+
+
+def found_coordinates(wanted: DataFrame, positions: DataFrame) -> DataFrame:
+    """wanted (x, y) with the position that has just these coordinates; null where none or several have. positions: pos, x, y."""
+    one = positions.groupBy("x", "y").agg(F.count("*").alias("_n"), F.min("pos").alias("pos"))
+    return wanted.join(one, ["x", "y"], "left").withColumn("pos", F.when(F.col("_n") == 1, F.col("pos"))).drop("_n")

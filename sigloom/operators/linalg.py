@@ -99,16 +99,17 @@ def orth(a: np.ndarray) -> np.ndarray:
     return canonical(u[:, s > max(a.shape) * np.spacing(s[0])]) if s.size and s[0] > 0 else np.zeros((a.shape[0], 0))
 
 
-def classwise_pca(stats: Stats, rule: float = 0.0) -> list[np.ndarray]:
-    """One basis per class: its own components with those of the class means."""
+def classwise_pca(stats: Stats, rule: float | Sequence[float] = 0.0) -> list[np.ndarray]:
+    """One basis per class: its own components, by one rule or one per class, with those of the class means."""
+    rules = list(rule) if isinstance(rule, (list, tuple)) else [rule] * len(stats.n)
     _, m, _ = stats.total()
     between = np.sqrt(stats.priors)[:, None] * (stats.mean - m)
     wb, vb = eigen(between.T @ between)
     vb = vb[:, : int((wb > 1e-12 * max(wb[0], 1e-300)).sum())]
     out = []
-    for cov in stats.sample_cov():
+    for cov, own in zip(stats.sample_cov(), rules):
         w, v = eigen(cov)
-        out.append(orth(np.hstack([v[:, : kept(w, rule)], vb])))
+        out.append(orth(np.hstack([v[:, : kept(w, own)], vb])))
     return out
 
 

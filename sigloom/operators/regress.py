@@ -42,6 +42,17 @@ def fitted_column(xs: Sequence[str], b: np.ndarray, affine: bool = True):
     return out
 
 
+def leave_one_out(df: DataFrame, xs: Sequence[str], y: str, affine: bool = True, out: str = "loo") -> DataFrame:
+    """Adds each row's prediction by the fit without it: from its residual and leverage, so there is one fit in all."""
+    xx, xy, _, _ = moments(df, xs, [y], affine)
+    inverse = np.linalg.pinv(xx)
+    b = (inverse @ xy)[:, 0]
+    row = F.array(*[F.col(c).cast("double") for c in xs], *([F.lit(1.0)] if affine else []))
+    dot = lambda a, c: F.aggregate(F.zip_with(a, c, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    lever = dot(row, F.transform(F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in inverse]), lambda r: dot(row, r)))
+    return df.withColumn(out, F.col(y) - (F.col(y) - fitted_column(xs, b, affine)) / (1 - lever))
+
+
 def robust(df: DataFrame, xs: Sequence[str], y: str, affine: bool = True, rounds: int = 20, tune: float = 4.685) -> np.ndarray:
     """Bisquare weights refitted until the coefficients stand still; each round is two aggregations, rows never leave the executors."""
     b = least_squares(df, xs, [y], affine)[:, 0]
