@@ -45,15 +45,17 @@ def fit(rows: list[np.ndarray], y: np.ndarray, share: float, l2: float = 1e-3, r
     weights, base = np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
     if not 0 < y.sum() < len(y):
         return Model(weights, base)
-    flat, size = np.concatenate(rows), np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), size)
-    in1 = np.bincount(flat, y[owner], 1 << BITS)
-    in0 = np.bincount(flat, minlength=1 << BITS) - in1
+    in1, in0 = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for x, k in zip(rows, y):
+        (in1 if k else in0)[x] += 1
     ratio = np.log((in1 + 1) / (in1 + 1).sum()) - np.log((in0 + 1) / (in0 + 1).sum())
     mine = (in1 + in0 >= least_rows) & (np.abs(ratio) > 0.5)
-    number = np.cumsum(mine) - 1
-    kept = mine[flat]
-    flat, owner = number[flat[kept]], owner[kept]
+    number = (np.cumsum(mine) - 1).astype(np.int32)
+    # only buckets in use are laid out, text by text: all of them would be several times the sample
+    used = [number[x[mine[x]]] for x in rows]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in used])
+    flat = np.concatenate(used)
+    del used
     r = ratio[mine]
     scale = r[flat]
     each = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum()))
