@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm import jaccard, mixing, pieces, pii, quality
-from sigloom.llm.common import shared_dir, table, written
+from sigloom.llm.common import let, shared_dir, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Shares of all tokens that the mixture is to have.
@@ -40,12 +40,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     So documents that are more clean than not always stay, none is repeated, and the rest is thinned out by a hash of the id.
     """
-    labels = mixing.labels_of(spark, sf_dir)
-    rows = mixing.memberships(docs, labels, COLUMNS)
-    steps = mixing.fitted(written(rows.select("tokens", "p"), "memberships"), TARGET)
-    half = mixing.rate(F.array(F.lit(0.5), F.lit(0.5), F.lit(0.0)), steps)
-    chance = mixing.rate(F.col("p"), steps) / F.greatest(half, F.lit(1e-6))
-    return rows.filter((F.col("tokens") == 0) | (F.col("p")[0] >= 0.5) | (mixing.uniform(F.col("doc_id")) < chance)).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    membership = mixing.membership(docs, mixing.labels_of(spark, sf_dir))
+    steps = mixing.fitted(written(docs.select(membership.alias("m")).select("m.tokens", "m.p"), "memberships"), TARGET)
+    half = mixing.rate_number([0.5, 0.5, 0.0], steps)
+    u = mixing.uniform(F.col("doc_id"))
+    # the membership stands in the condition once, bound to m
+    return docs.filter(let(membership, lambda m: (m["tokens"] == 0) | (m["p"][0] >= 0.5) | (u < mixing.rate(m["p"], steps) / max(half, 1e-6))))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

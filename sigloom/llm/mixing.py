@@ -94,16 +94,21 @@ def posteriors(own: Column, ratios: list[list[float]], priors: list[float]) -> C
     return let(let(buckets(own), scores), softmax)
 
 
-def memberships(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, tokens and p (posteriors in the order of DOMAINS) of every row. labels: doc_id, domain; those
-    of other documents than these don't count."""
+def membership(docs: DataFrame, labels: DataFrame) -> Column:
+    """struct (tokens, p): a row's number of tokens and its posteriors in the order of DOMAINS. labels: doc_id, domain; those of
+    other documents than these don't count. Learns now, applies where the column is used."""
     labels = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
     shares = {r["domain"]: r["n"] for r in labels.filter("domain is not null").groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
     shares = {d: (shares.get(d, 0) + 0.5) / (total + 0.5 * len(DOMAINS)) for d in DOMAINS}
     ratios, priors = log_ratios(labelled(docs, labels), shares)
-    both = let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("tokens"), posteriors(w, ratios, priors).alias("p")))
-    return docs.select(*keep, both.alias("_m")).select(*keep, "_m.tokens", "_m.p")
+    return let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("tokens"), posteriors(w, ratios, priors).alias("p")))
+
+
+def memberships(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns in keep, tokens and p of every row. Before it is filtered or used more than once it should be written: Spark would
+    put the membership's whole expression in place of each use of p."""
+    return docs.select(*keep, membership(docs, labels).alias("_m")).select(*keep, "_m.tokens", "_m.p")
 
 
 def _solve(a: list[list[float]], b: list[float]) -> list[float]:
@@ -131,6 +136,14 @@ def rate(p: Column, steps: list[list[float]]) -> Column:
     return r
 
 
+def rate_number(p: Sequence[float], steps: list[list[float]]) -> float:
+    """The same for one membership, as a number."""
+    r = 1.0
+    for y in steps:
+        r = max(0.0, r - sum(a * b for a, b in zip(p, y)))
+    return r
+
+
 def fitted(rows: DataFrame, target: dict[str, float], total: float | None = None, rounds: int = 60, close: float = 1e-4) -> list[list[float]]:
     """The steps after which expected token totals are within `close` (as a share of all) of the targets, or come nearer by less
     than half a percent a step; rows: tokens and p.
