@@ -306,7 +306,8 @@ def buckets(rows: DataFrame, runs: tuple[int, int]) -> DataFrame:
             break
         width = LEVELS - 1 - level
         parts = F.expr(f"transform(sequence(1, size(rest) div {width}), k -> slice(rest, (k - 1) * {width} + 1, {width}))")
-        deeper = deeper.join(listed(large, BROADCAST_BUCKETS)(large), "bucket", "left_semi").filter("size(rest) > 0").dropDuplicates(["bucket", "sid"])
+        deeper = deeper.join(listed(large, BROADCAST_BUCKETS)(large), "bucket", "left_semi").filter("size(rest) > 0")
+        deeper = deeper.dropDuplicates(["bucket", "sid", "rest"])  # rows of equal sets; a set's different paths below a bucket all stay
         deeper = deeper.select("sid", F.explode(parts).alias("q")).select("sid", F.col("q")[0].alias("bucket"), F.slice("q", 2, max(1, width - 1)).alias("rest")).filter("bucket <> 0")
         deeper = written(deeper, "deeper")  # once, not again for each count and join below
         here = deeper.select("sid", "bucket").distinct()

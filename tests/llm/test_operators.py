@@ -140,6 +140,15 @@ def test_jaccard_blocks_and_levels(spark, monkeypatch):
     assert [out[k]["class_id"] for k in range(40)] == classes and [out[k]["n_links"] for k in range(40)] == links
 
 
+def test_jaccard_keeps_every_path(spark, monkeypatch):
+    """A large second-level bucket is split by all third-level picks of its sets; a row of an equal set adds nothing."""
+    monkeypatch.setattr(jaccard, "BUCKET", 2)
+    rest = [10, 100, 10, 101, 10, 102]
+    rows = [(bytes([k]), [(0, 1, rest)]) for k in (0, 1, 2, 2)]
+    out = jaccard.buckets(spark.createDataFrame(rows, "sid binary, paths array<struct<run:int,head:long,rest:array<long>>>"), (0, 0)).collect()
+    assert sorted((r["bucket"], bytes(r["sid"]), r["size"]) for r in out) == [(b, bytes([k]), 3) for b in (100, 101, 102) for k in range(3)]
+
+
 def test_jaccard_odd_rows(spark, odd, none):
     out = jaccard.near_duplicates(odd)
     assert out.count() == odd.count()
