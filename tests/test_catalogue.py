@@ -1,5 +1,6 @@
 """Every catalogue query against its SQL on the smallest tables."""
 
+import hashlib
 import math
 import os
 
@@ -46,6 +47,14 @@ def test_rows_only(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_mask_pii_keeps_texts_with_names(spark, tmp_path):
+    rows = [(1, "Patient Name: Ann Lee, born 3/14/1980, no. 1234567."), (2, "no one here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["h"] for r in catalogue.QUERIES["mask_pii"](spark, str(tmp_path)).collect()}
+    wanted = {1: "Patient Name: X, born 00/00/1980, no. 88888888.", 2: "no one here"}
+    assert got == {k: hashlib.md5(t.encode()).hexdigest() for k, t in wanted.items()}
+
+
 def test_entry(spark):
     import __spark_entry__
 
