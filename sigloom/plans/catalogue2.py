@@ -32,6 +32,30 @@ def bandpower_fft(spark, d):
     return spectral.band_power(first128(spark, d), ["ch"], "t", "v", 128, 128.0, BANDS).select("ch", "lo", "hi", r6("power").alias("power"))
 
 
+DFT_WHOLE = SERIES + """, y as (select ch, (i - 1) // 128 blk, k, sum(v * cos(2 * pi() * k * ((i - 1) % 128) / 128)) re, -sum(v * sin(2 * pi() * k * ((i - 1) % 128) / 128)) im from s cross join (select range k from range(65)) q group by all)"""
+
+
+def blocks128(spark, d):
+    """Every sample, by its block of 128; a last block that is shorter counts as filled up with zeros."""
+    t = F.col("i") - 1
+    return series(spark, d).withColumn("blk", F.floor(t / 128).cast("long")).withColumn("t", t % 128)
+
+
+@query(f"with {DFT_WHOLE} select ch, cast(blk as bigint) blk, cast(k as int) k, round(2 * sqrt(re * re + im * im) / 128, 6) amp from y")
+def dft_amplitude_whole(spark, d):
+    """dft_amplitude over all blocks of each channel."""
+    return spectral.amplitude(blocks128(spark, d), ["ch", "blk"], "t", "v", 128).select("ch", "blk", "k", r6("amp").alias("amp"))
+
+
+@query(f"""
+with {DFT_WHOLE}, b as (select * from (values (0.0::double, 4.0::double), (4, 8), (8, 16), (16, 65)) t(lo, hi))
+select ch, cast(blk as bigint) blk, lo, hi, round(sum(case when k in (0, 64) then 1 else 2 end * (re * re + im * im) / 16384), 6) power from y join b on k >= lo and k < hi group by ch, blk, lo, hi
+""")
+def bandpower_fft_whole(spark, d):
+    """bandpower_fft over all blocks of each channel."""
+    return spectral.band_power(blocks128(spark, d), ["ch", "blk"], "t", "v", 128, 128.0, BANDS).select("ch", "blk", "lo", "hi", r6("power").alias("power"))
+
+
 @query(f"with {SERIES} select ch, cast(floor((i - 1) / 32) as bigint) seg, round(avg(v * v), 6) power from s group by 1, 2 having count(*) = 32")
 def segment_power(spark, d):
     return spectral.segment_power(first128(spark, d), ["ch"], "t", "v", 32).select("ch", "seg", r6("power").alias("power"))
@@ -63,6 +87,14 @@ def biquad_filter(spark, d):
     return out.select("ch", (F.col("p") + 1).alias("i"), r6("y").alias("y"))
 
 
+@query()
+def biquad_filter_whole(spark, d):
+    """biquad_filter over whole channels; the recursion has no SQL."""
+    section = [[0.0247849, 0.0, -0.0247849, 1.0, -1.9588637, 0.9700202]]
+    out = dsp.mapped(dsp.blocks(series(spark, d), ["ch"], "i", "v"), lambda x: dsp.run_sections(x, section)[0])
+    return dsp.unblocked(out, ["ch"]).select("ch", F.col("idx").cast("long").alias("i"), r6("value").alias("y"))
+
+
 BLOCKS8 = SERIES + ", x as (select ch, cast(floor((i - 1) / 8) as bigint) blk, (i - 1) % 8 p, v from s), f as (select ch, blk from x group by 1, 2 having count(*) = 8)"
 
 
@@ -613,7 +645,8 @@ def kde1d(spark, d):
 
 @query()
 def surrogate_r2(spark, d):
-    s = series(spark, d).filter("i <= 200 and ch in ('click', 'view')").groupBy("i").pivot("ch", ["click", "view"]).agg(F.first("v")).dropna().orderBy("i").toPandas()
+    """Both channels whole, as far as both go; they are collected."""
+    s = series(spark, d).filter("ch in ('click', 'view')").groupBy("i").pivot("ch", ["click", "view"]).agg(F.first("v")).dropna().orderBy("i").toPandas()
     return regress.surrogate_r2(spark, s[["click"]].to_numpy(), s["view"].to_numpy(), 200).select("draw", r6("r2").alias("r2"))
 
 
