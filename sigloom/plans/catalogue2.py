@@ -232,11 +232,58 @@ def parzen_pdf(spark, d):
     return out.select("q_id", "label", r6("density").alias("density"))
 
 
-DECIDED = f"{NEAR}, w as (select q_id, label, count(*) k from n where r <= 7 group by 1, 2), z as (select q_id, label dec, row_number() over (partition by q_id order by k desc, label) o from w), c as (select dec decision, e.label truth, count(*) n from z join e on e.id = z.q_id where o = 1 group by 1, 2)"
+# Every vector with all its dimensions, asked of all others.
 
 
-def decided(spark, d):
-    votes = knn_prob(spark, d)
+def all_vectors(spark, d):
+    e = load(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return e.select(F.col("vec_id").alias("q_id"), F.col("x").alias("q_x")), e.select(F.col("vec_id").alias("r_id"), F.col("x").alias("r_x"), "label")
+
+
+NEAR_WHOLE = """e as (select vec_id id, label, embedding::double[] x from embeddings), p as (select q.id q_id, r.id r_id, r.label, list_distance(q.x, r.x) d from e q join e r on q.id <> r.id),
+n as (select *, row_number() over (partition by q_id order by d, r_id) r from p)"""
+
+
+@query(f"with {NEAR_WHOLE} select q_id, cast(label as int) label, round(count(*) / 7.0::double, 6) share from n where r <= 7 group by 1, 2")
+def knn_prob_whole(spark, d):
+    q, r = all_vectors(spark, d)
+    return classify.neighbour_shares(q, r, 7, apart=True).select("q_id", "label", r6("share").alias("share"))
+
+
+@query(f"with {NEAR_WHOLE}, v as (select q_id, label, sum(1 / greatest(d, 1e-12::double)) s from n where r <= 7 group by 1, 2) select q_id, cast(label as int) label, round(s / sum(s) over (partition by q_id), 6) share from v")
+def wknn_prob_whole(spark, d):
+    q, r = all_vectors(spark, d)
+    return classify.neighbour_shares(q, r, 7, weighted=True, apart=True).select("q_id", "label", r6("share").alias("share"))
+
+
+@query(f"with {NEAR_WHOLE} select q_id, r_id, cast(r as int) rank, round(d, 6) d from n where r <= 5")
+def knn_join_whole(spark, d):
+    q, r = all_vectors(spark, d)
+    return joins.nearest(q, r.drop("label"), 5, apart=True).select("q_id", "r_id", "rank", r6("d").alias("d"))
+
+
+@query(f"with {NEAR_WHOLE}, m as (select q_id, min(d) d from p where d > 0 group by 1) select round(median(d), 6) nn_median from m")
+def nn_distance_median_whole(spark, d):
+    e = load(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return joins.nearest_distance_median(e, "vec_id", "x").select(r6("nn_median").alias("nn_median"))
+
+
+@query("""
+with e as (select vec_id id, label, embedding::double[] x from embeddings)
+select q.id q_id, cast(r.label as int) label, round(ln(avg(exp(-0.5 * (list_distance(q.x, r.x) / 0.05::double) ** 2) / (0.05::double * sqrt(2 * pi())) ** 64)), 6) log_density from e q cross join e r group by 1, 2
+""")
+def parzen_pdf_whole(spark, d):
+    """Logarithms, as densities in 64 dimensions have hundreds of digits."""
+    q, r = all_vectors(spark, d)
+    return classify.parzen(q, r, 0.05, dims=64).select("q_id", "label", r6(F.log("density")).alias("log_density"))
+
+
+VOTED = "w as (select q_id, label, count(*) k from n where r <= 7 group by 1, 2), z as (select q_id, label dec, row_number() over (partition by q_id order by k desc, label) o from w), c as (select dec decision, e.label truth, count(*) n from z join e on e.id = z.q_id where o = 1 group by 1, 2)"
+DECIDED, DECIDED_WHOLE = f"{NEAR}, {VOTED}", f"{NEAR_WHOLE}, {VOTED}"
+
+
+def decided(spark, d, votes=knn_prob):
+    votes = votes(spark, d)
     best = votes.groupBy("q_id").agg(F.max_by("label", F.struct("share", -F.col("label"))).alias("decision"))
     truth = load(spark, d, "embeddings").select(F.col("vec_id").alias("q_id"), F.col("label").alias("truth"))
     return best.join(truth, "q_id")
@@ -262,6 +309,26 @@ def pcorrect_prior(spark, d):
     return validate.correct_by_prior(validate.confusion(decided(spark, d)), {k: 0.1 for k in range(10)}).select(r6("pcorrect").alias("pcorrect"))
 
 
+@query(f"with {DECIDED_WHOLE} select cast(decision as int) decision, cast(truth as int) truth, n from c")
+def confusion_matrix_whole(spark, d):
+    return validate.confusion(decided(spark, d, knn_prob_whole))
+
+
+@query(f"with {DECIDED_WHOLE} select cast(decision as int) decision, cast(truth as int) truth, round(n / sum(n) over (partition by truth), 6) share from c")
+def pconfuse_whole(spark, d):
+    return validate.shares(validate.confusion(decided(spark, d, knn_prob_whole))).select("decision", "truth", r6("share").alias("share"))
+
+
+@query(f"with {DECIDED_WHOLE} select round(sum(case when decision = truth then n else 0 end) / sum(n), 6) pcorrect from c")
+def pcorrect_whole(spark, d):
+    return validate.correct(validate.confusion(decided(spark, d, knn_prob_whole))).select(r6("pcorrect").alias("pcorrect"))
+
+
+@query(f"with {DECIDED_WHOLE}, s as (select *, n / sum(n) over (partition by truth) share from c) select round(sum(case when decision = truth then share * 0.1::double else 0 end), 6) pcorrect from s")
+def pcorrect_prior_whole(spark, d):
+    return validate.correct_by_prior(validate.confusion(decided(spark, d, knn_prob_whole)), {k: 0.1 for k in range(10)}).select(r6("pcorrect").alias("pcorrect"))
+
+
 @query("""
 with x as (select vec_id, label, row_number() over (partition by label order by md5(vec_id::varchar || '0'), vec_id) r, count(*) over (partition by label) n from embeddings)
 select vec_id, cast(ceil((r - 0.5::double) * 5 / n) as int) fold from x
@@ -498,6 +565,13 @@ def topo_fill(spark, d):
     return channels.zero_filled(c, load(spark, d, "nation").select(F.col("n_nationkey").alias("k")), "k", "v").select("k", r6("scaled").alias("scaled"))
 
 
+@query("with p as (select c_nationkey k, sum(c_acctbal) v from customer group by 1), t as (select max(abs(v)) m from p) select n_nationkey k, round(coalesce(v, 0) / m, 6) scaled from nation left join p on k = n_nationkey cross join t")
+def topo_fill_whole(spark, d):
+    """topo_fill over all customers."""
+    c = load(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("c_acctbal").alias("v"))
+    return channels.zero_filled(c, load(spark, d, "nation").select(F.col("n_nationkey").alias("k")), "k", "v").select("k", r6("scaled").alias("scaled"))
+
+
 # --- geometry -----------------------------------------------------------------------------------
 
 POINTS = "p as (select c_custkey k, c_custkey % 17 / 5.0::double a, c_custkey % 13 / 9.0::double b, c_custkey % 11 / 4.0::double c, c_custkey % 7 / 5.0::double e from customer)"
