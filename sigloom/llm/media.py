@@ -171,20 +171,42 @@ def stored_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("data")).mapInArrow(stored, f"doc_id {kind}, {STORED}" + ", media binary" * keep_media)
 
 
+def reread(media: DataFrame) -> DataFrame:
+    """What the bytes of a media table (digest, media) hold; bytes that don't have their digest are an error."""
+
+    @thrifty
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for digest, data in zip(b.column(0).to_pylist(), b.column(1)):
+                data = data.as_py()
+                if hashlib.sha256(data).hexdigest() != digest:
+                    raise ValueError(f"stored bytes are not those of {digest}")
+                image = from_pgm(data)
+                back = image.tobytes()
+                rows.append((digest, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), feature(image)))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)]
+            yield pa.RecordBatch.from_arrays(cols, ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"])
+
+    return media.select("digest", "media").mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a page with its text as a stored image; the parsed page's reference is resolved by digest.
 
-    The payloads' bytes never move: what is read back from them is computed where they are stored, and the join carries that.
+    The media table keeps each payload's bytes once. The join carries what is read back from these, not the bytes themselves.
     The unpadded length belongs to the page, not to the payload (texts that differ in spaces at their end can share one), so
     it comes from the reference's caption.
     """
-    rows = written(stored_text(table(spark, sf_dir, "documents")), "stored")
+    docs = table(spark, sf_dir, "documents")
+    rows = written(stored_text(docs).select("doc_id", "n_bytes", "digest"), "stored")
     page = F.concat(
         F.lit("<article><h1>Document</h1><figure><img src=\"sha256:"), "digest", F.lit('" alt="whole text"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure><p>End.</p></article>")
     )
     pages = rows.select(F.col("doc_id").alias("page_id"), page.alias("html"))
     # written, so that the join's both sides are plain shuffles, whose partitions Spark splits where one payload is in very many pages
-    media = written(rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature")]), "media")
+    media = reread(written(stored_text(docs, keep_media=True).groupBy("digest").agg(F.first("media").alias("media")), "media"))
     found = resolved(sequences(pages), media).filter("kind = 'media'")
     return found.select(
         F.col("page_id").alias("doc_id"), F.split("caption", " ")[0].cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("ref_digest").alias("media_sha256"), "feature", "position", "caption",

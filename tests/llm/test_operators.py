@@ -334,6 +334,22 @@ def test_media_sequence(spark):
     assert [r["media"] for r in media.resolved(seqs, store).orderBy("position").collect()] == [b"x", None]
 
 
+def test_media_table_holds_the_bytes(spark, odd, tmp_path, monkeypatch):
+    """Each payload is stored once, and the result is that of the stored bytes; others than the digest's are refused."""
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    tables = {}
+    monkeypatch.setattr(media, "written", lambda df, name: tables.setdefault(name, common.written(df, name)))
+    out = media.op9_media(spark, str(tmp_path)).collect()
+    held = {r["digest"]: bytes(r["media"]) for r in tables["media"].collect()}
+    assert tables["media"].count() == len(held) and {r["media_sha256"] for r in out} == set(held)
+    for r in out:
+        back = media.from_pgm(held[r["media_sha256"]]).tobytes()
+        assert (r["payload_sha256"], r["media_bytes"]) == (hashlib.sha256(back).hexdigest(), len(held[r["media_sha256"]]))
+    spoilt = spark.createDataFrame([("00" * 32, media.to_pgm(media.padded(b"x")))], "digest string, media binary")
+    with pytest.raises(Exception, match="not those of"):
+        media.reread(spoilt).collect()
+
+
 def test_media_round_trip(spark, odd, none, tmp_path):
     for name, docs in (("a", odd), ("b", none)):
         docs.write.parquet(str(tmp_path / name / "documents.parquet"))
