@@ -140,3 +140,11 @@ def test_folds_cover_all(spark):
     df = spark.range(103).selectExpr("id", "id % 3 label")
     sizes = [r["count"] for r in validate.folds(df, "id", 5, "label").groupBy("label", "fold").count().collect()]
     assert sum(sizes) == 103 and max(sizes) - min(sizes) <= 1
+
+
+@pytest.mark.parametrize("kind", ["parzen", "knn"])
+def test_grid_refuses_classifiers_it_lacks(kind):
+    s = linalg.Stats([0, 1], np.array([5.0, 5.0]), np.array([[0.0, 0.0], [1.0, 1.0]]), np.stack([np.eye(2)] * 2))
+    assert validate.Scorer.of(s, [np.eye(2)], "linear", "empirical")
+    with pytest.raises(ValueError, match=kind):
+        validate.Scorer.of(s, [np.eye(2)], kind, "empirical")
