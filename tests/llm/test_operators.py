@@ -227,16 +227,25 @@ def test_quality_learns_from_positives(spark):
     assert m.scores(np.array([quality.measures(t) for t in bad[50:]])).max() < 0.5
 
 
-def test_toxicity_held_out():
+def test_toxicity_held_out(spark):
     rng = np.random.default_rng(5)
     make = lambda k: sentence(rng, 40) + (" you utter scoundrelly knave " if k else " ") + sentence(rng, 40)
     y = np.arange(400) % 4 == 0
-    rows = [toxicity.distinct_buckets(make(k), toxicity.ORDERS, toxicity.BITS) for k in y]
-    m = toxicity.fit(rows[:300], y[:300], 0.25)
-    texts = [make(k) for k in (1, 0) * 30]
-    assert [m.score(t) >= 0.7 for t in texts] == [True, False] * 30
+    texts = [make(k) for k in y]
+    df = spark.createDataFrame(list(zip(map(int, y), texts)), "y int, text string")
+    counts = toxicity.class_counts(df)
+    held = [set(toxicity.distinct_buckets(t, toxicity.ORDERS, toxicity.BITS).tolist()) for t in texts]
+    counted = {r["bucket"]: (r["in1"], r["in0"]) for r in counts.collect()}
+    assert counted.pop(-1) == (100, 300)
+    assert counted == {b: (sum(b in h for h, k in zip(held, y) if k), sum(b in h for h, k in zip(held, y) if not k)) for b in set().union(*held)}
+    chosen = toxicity.chosen_buckets(counts)
+    rows = [np.asarray(r["x"]) for r in toxicity.held_places(df, chosen).collect()]
+    assert all({int(chosen[k]) for k in x} == h & set(chosen.tolist()) for x, h in zip(rows, held))
+    m = toxicity.Scorer(toxicity.fit(rows, y, 0.25, chosen))
+    fresh = [make(k) for k in (1, 0) * 30]
+    assert [m.score(t) >= 0.7 for t in fresh] == [True, False] * 30
     assert m.score(None) == m.score("") < 0.7
-    assert toxicity.fit(rows[:3], np.zeros(3), 0.3).score("x") == pytest.approx(0.3)
+    assert toxicity.Scorer(toxicity.fit(rows[:3], np.zeros(3), 0.3, chosen)).score("x") == pytest.approx(0.3)
 
 
 def test_langid_held_out():
@@ -338,7 +347,7 @@ def test_media_table_holds_the_bytes(spark, odd, tmp_path, monkeypatch):
     """Each payload is stored once, and the result is that of the stored bytes; others than the digest's are refused."""
     odd.write.parquet(str(tmp_path / "documents.parquet"))
     tables = {}
-    monkeypatch.setattr(media, "written", lambda df, name: tables.setdefault(name, common.written(df, name)))
+    monkeypatch.setattr(media, "written", lambda df, name, *how: tables.setdefault(name, common.written(df, name, *how)))
     out = media.op9_media(spark, str(tmp_path)).collect()
     held = {r["digest"]: bytes(r["media"]) for r in tables["media"].collect()}
     assert tables["media"].count() == len(held) and {r["media_sha256"] for r in out} == set(held)
