@@ -183,11 +183,39 @@ def test_mixing_meets_targets(spark):
     assert all(abs(sum(r["p"]) - 1) < 1e-9 for r in out)
 
 
+def brute_rates(p, t, wanted, most, rounds=20000):
+    """Rates by plain projected gradient steps in numpy."""
+    a = p * t[:, None] / wanted.sum()
+    step, r = 1 / np.linalg.norm((a / t[:, None]).T @ a, 2), np.ones(len(t))
+    for _ in range(rounds):
+        r = np.clip(r - step * ((a.T @ r - wanted / wanted.sum()) @ a.T) / t, 0, most)
+    return r
+
+
+@pytest.mark.parametrize("most", [None, 1.0])
+def test_mixing_rates_equal_plain_steps(spark, most):
+    """The distance that is left, with targets that can and can't be met, is that of many plain steps."""
+    rng = np.random.default_rng(11)
+    p = rng.dirichlet([3, 0.5, 0.3], 500)
+    t = rng.integers(1, 200, 500).astype(float)
+    rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p)], "tokens long, p array<double>")
+    for shares in ((0.9, 0.04, 0.06), (0.999, 0.0005, 0.0005)):
+        wanted = np.array(shares) * t.sum() * (1 if most is None else 0.8)
+        steps = mixing.fitted(rows, dict(zip(mixing.DOMAINS, shares)), wanted.sum(), most, 1e-5)
+        r = np.array([x[0] for x in rows.select(mixing.rate(F.col("p"), steps, most)).collect()])
+        assert r.min() >= 0 and (most is None or r.max() <= most)
+        got = mixing.attained(rows, steps, most)
+        assert [got[d] for d in mixing.DOMAINS] == pytest.approx(((p * t[:, None]).T @ r).tolist(), rel=1e-6)
+        far = lambda x: float(np.sum((((p * t[:, None]).T @ x - wanted) / wanted.sum()) ** 2))
+        best = far(brute_rates(p, t, wanted, np.inf if most is None else most))
+        assert far(r) <= (3e-8 if best < 1e-9 else best * 1.01 + 1e-6)
+
+
 def test_mixing_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, "clean"), (6, "toxic"), (99, "low"), (None, "low"), (3, None)], "doc_id long, domain string")
     rows = mixing.memberships(odd, labels, ["doc_id", "score"])
     assert {r["doc_id"]: r["tokens"] for r in rows.collect()} | {} and rows.filter("tokens = 0").count() == 3
-    assert mixing.memberships(none, labels).count() == 0 and mixing.fitted(mixing.memberships(none, labels), mixing.TARGET) == []
+    assert mixing.memberships(none, labels).count() == 0 and mixing.fitted(mixing.memberships(none, labels), mixing.TARGET) == [0.0] * 3
 
 
 # --- 4 -------------------------------------------------------------------------------------------
