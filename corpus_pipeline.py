@@ -36,17 +36,19 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A mixture nearer the target: a document stays with the chance of its rate over that of a document that is half clean.
+    """A mixture nearer the target: a document stays with the chance of its fitted rate, by a hash of its id.
 
-    So documents that are more clean than not always stay, none is repeated, and the rest is thinned out by a hash of the id.
+    Rates are at most 1, as no document is repeated, and the total that is wanted is the one at which the clean tokens all have their
+    place: so the fit gets the shares by thinning out what isn't clean, as far as soft memberships allow.
     """
     docs = docs.select(*COLUMNS)
     membership = mixing.membership(docs, mixing.labels_of(spark, sf_dir))
-    steps = mixing.fitted(written(docs.select(membership.alias("m")).select("m.tokens", "m.p"), "memberships"), TARGET)
-    half = mixing.rate_number([0.5, 0.5, 0.0], steps)
+    rows = written(docs.select(membership.alias("m")).select("m.tokens", "m.p"), "memberships")
+    total = mixing.attained(rows, [0.0] * len(TARGET))["clean"] / (TARGET["clean"] / sum(TARGET.values()))
+    multipliers = mixing.fitted(rows, TARGET, total, most=1.0, pull=1e-4)
     u = mixing.uniform(F.col("doc_id"))
     # the membership stands in the condition once, bound to m
-    return docs.filter(let(membership, lambda m: (m["tokens"] == 0) | (m["p"][0] >= 0.5) | (u < mixing.rate(m["p"], steps) / max(half, 1e-6))))
+    return docs.filter(let(membership, lambda m: (m["tokens"] == 0) | (u < mixing.rate(m["p"], multipliers, 1.0))))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
