@@ -350,6 +350,55 @@ def test_pii_adds_and_redacts(spark):
     assert out[80]["clean"] == texts[80]
 
 
+def planted(rng, variants):
+    """A text and its planted spans: numbers and addresses among words, in the base patterns' formats or in variants of these."""
+    n = lambda k: "".join(map(str, rng.integers(1, 10, k)))
+    card = n(15)
+    card += next(c for c in "0123456789" if sum(int(x) if k % 2 == 0 else sum(divmod(2 * int(x), 10)) for k, x in enumerate(reversed(card + c))) % 10 == 0)
+    octets = [str(x) for x in rng.integers(1, 255, 4)]
+    secret = "".join(rng.choice(list("0123456789abcdef"), 40))
+    who, host = sentence(rng, 1), sentence(rng, 1)
+    if variants:
+        made = [f"{who} (at) {host} (dot) com", "[.]".join(octets), ".".join(card[k : k + 4] for k in (0, 4, 8, 12)), f"({n(3)}) 555-{n(4)}", secret]
+    else:
+        made = [f"{who}@{host}.com", ".".join(octets), card, f"+1 ({n(3)}) 555-{n(4)}", f'token = "{secret}"']
+    text, spans = sentence(rng, 8), []
+    for k, m in enumerate(made):
+        text += " "
+        spans.append((k, len(text), len(text) + len(m)))
+        text += m + " " + sentence(rng, 5)
+    return text, spans
+
+
+def test_pii_adds_what_the_patterns_do_not_know(spark):
+    """Recall and precision of added spans, on variants of the formats that no base pattern matches."""
+    rng = np.random.default_rng(12)
+    learn = [planted(rng, False)[0] for _ in range(200)]
+    plain = [f"{sentence(rng, 4)} {rng.integers(10**15, 10**16)} {sentence(rng, 3)} 1.{rng.integers(300, 900)}.2.3 and version 4.1.2, {rng.integers(1000)} of {rng.integers(1000)} {'x' * 30}9 end" for _ in range(200)]
+    tests = [planted(rng, True) for _ in range(100)]
+    texts = learn + plain + [t for t, _ in tests]
+    found = pii.found_in(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"])
+    model = pii.learned(found.filter("doc_id < 400"))
+    spans = {r["doc_id"]: r for r in found.withColumn("all", pii.all_spans(F.col("base"), F.col("cands"), model)).collect()}
+    wanted = {(400 + i, *x) for i, (_, own) in enumerate(tests) for x in own}
+    got = {(i, x["k"], x["s"], x["e"]) for i, r in spans.items() if i >= 200 for x in r["all"] if x not in r["base"]}
+    assert all(x in r["all"] for r in spans.values() for x in r["base"])
+    near = lambda a, b: a[:2] == b[:2] and a[2] < b[3] and b[2] < a[3]
+    by_doc = {}
+    for g in got:
+        by_doc.setdefault(g[0], []).append(g)
+    caught = [any(near(g, w) for g in by_doc.get(w[0], [])) for w in wanted]
+    right = [any(near(g, w) for w in wanted) for g in got]
+    assert np.mean(caught) >= 0.9 and np.mean(right) >= 0.9, {k: np.mean([c for c, w in zip(caught, wanted) if w[1] == k]) for k in range(5)}
+
+
+def test_pii_many_matches(spark):
+    """Places are right beyond a run of matches, and a long text with many digits is no matter."""
+    text = " ".join(f"a{k}@b.co 2024-01-{k % 30:02d} 12:{k % 60:02d}:07.{k % 1000}" for k in range(3000))
+    (r,) = pii.found_in(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).collect()
+    assert [(x["s"], x["k"], x["e"]) for x in r["base"]] == base_spans(text)
+
+
 def test_pii_odd_rows(spark, odd, none, tmp_path):
     for name, docs in (("a", odd), ("b", none)):
         docs.write.parquet(str(tmp_path / name / "documents.parquet"))
