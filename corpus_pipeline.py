@@ -28,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the text."""
-    model = pii.learned(written(pii.found_in(docs, ["doc_id"]).filter("size(cands) > 0"), "candidates"))
+    model = pii.learned(written(pii.found_in(docs, ["doc_id"]).filter("size(cands) > 0 or size(masks) > 0"), "candidates"))
     found = pii.found_in(docs, list(COLUMNS))
     changed = pii.redacted(F.coalesce("text", F.lit("")), pii.all_spans(F.col("base"), F.col("cands"), model))
     out = found.withColumn("text", F.when(F.col("text").isNotNull(), changed))
