@@ -185,15 +185,32 @@ def ida(stats: Stats, m: int, restarts: int = 5, steps: int = 200, seed: int = 3
     return canonical(best[1])
 
 
-def fkt(stats: Stats, keep: float = 0.9) -> tuple[np.ndarray, np.ndarray]:
-    """Fukunaga-Koontz directions of two classes, from moments about the origin: those with eigenvalue over keep or under 1 - keep."""
+def fkt(stats: Stats, first: float = 0, second: float = 0, reduced: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Fukunaga-Koontz directions of two classes, from moments about the origin, and their eigenvalues, largest first.
+
+    first and second say which stay for either class (second: as first, if left out by None): both 0, eigenvalues over 0.9 and under 0.1;
+    under 1, those over 1 - first and under second; from 1, so many from either end. reduced: where a class's moments aren't of
+    full rank, principal components come first, as many as the smaller rank.
+    """
+    first = max(first, 0)
+    second = first if second is None else max(second, 0)
     s = [c + np.outer(m, m) for c, m in zip(stats.cov, stats.mean)][:2]
+    before = np.eye(len(s[0]))
+    rank = min(int((w > 1e-18 * w[0]).sum()) for w in (eigen(x)[0] for x in s))
+    if reduced and rank < min(len(before), *stats.n[:2]):
+        before = pca(stats, rank)
+        s = [before.T @ x @ before for x in s]
     w, v = eigen(s[0] + s[1])
     ok = w > 1e-9 * w[0]
     white = v[:, ok] / np.sqrt(w[ok])
     lam, u = eigen(white.T @ s[0] @ white)
-    at = (lam > keep) | (lam < 1 - keep)
-    return white @ u[:, at], lam[at]
+    at = np.zeros(len(lam), bool)
+    if not first and not second:
+        at |= (lam > 0.9) | (lam < 0.1)
+    else:
+        at |= (lam > 1 - first) if first < 1 else (np.arange(len(lam)) < first)
+        at |= (lam < second) if second < 1 else (np.arange(len(lam)) >= len(lam) - second)
+    return before @ white @ u[:, at], lam[at]
 
 
 def whitening(stats: Stats, symmetric: bool = False) -> np.ndarray:

@@ -80,8 +80,9 @@ def bridge_nulls(df: DataFrame, by: Sequence[str], idx: str, value: str, out: st
     """Linear interpolation over missing samples; at the ends the line through the two nearest known samples goes on, or nulls stay."""
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(idx).cast("double").alias("x"), F.col(value).cast("double").alias("y")))
     back = Window.partitionBy(*by).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(idx).rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumn("_known", known).withColumn("_p", F.last("_known", ignorenulls=True).over(back)).withColumn("_n", F.first("_known", ignorenulls=True).over(ahead))
+    # the next known sample is the last one seen from the other end: a frame that grows, not one that is gone through again for every row
+    ahead = Window.partitionBy(*by).orderBy(F.desc(idx)).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_known", known).withColumn("_p", F.last("_known", ignorenulls=True).over(back)).withColumn("_n", F.last("_known", ignorenulls=True).over(ahead))
     line = lambda a, b: a["y"] + (F.col(idx) - a["x"]) * (b["y"] - a["y"]) / (b["x"] - a["x"])
     p, n = F.col("_p"), F.col("_n")
     filled = F.when(F.col(value).isNotNull(), F.col(value).cast("double")).when(p.isNotNull() & n.isNotNull(), line(p, n))

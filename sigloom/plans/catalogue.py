@@ -215,23 +215,12 @@ def asof_segment(spark, d):
     return intervals.as_of(e.select("event_id", "user_id", "ts"), s, "ts", "st", "seg", ["user_id"]).select("event_id", "seg")
 
 
-@query("""
-with a as (select cast(event_id as double) t0, cast(event_id + 2 as double) t1, 'idle' tag from events where event_id % 10 = 0), b as (select cast(event_id as double) t0, null::double t1, 'move' tag from events where event_id % 15 = 0)
-select t0, t1, tag, round((t0 + coalesce(t1, t0)) / 2, 6) mid from (select * from a union all select * from b)
-""")
-def event_tags(spark, d):
-    e = load(spark, d, "events").select(F.col("event_id").cast("double").alias("t0"))
-    a = e.filter("t0 % 10 = 0").withColumn("t1", F.col("t0") + 2)
-    b = e.filter("t0 % 15 = 0").withColumn("t1", F.lit(None).cast("double"))
-    return intervals.event_tags((a, "idle"), (b, "move")).select("t0", "t1", "tag", r6("mid").alias("mid"))
-
-
 @query("""
 with a as (select cast(event_id as double) t0, cast(event_id + 2 as double) t1, 'idle' tag from events), b as (select cast(event_id as double) t0, null::double t1, 'move' tag from events)
 select t0, t1, tag, round((t0 + coalesce(t1, t0)) / 2, 6) mid from (select * from a union all select * from b)
 """)
-def event_tags_whole(spark, d):
-    """event_tags with both tags on every event."""
+def event_tags(spark, d):
+    """Both tags on every event."""
     e = load(spark, d, "events").select(F.col("event_id").cast("double").alias("t0"))
     a, b = e.withColumn("t1", F.col("t0") + 2), e.withColumn("t1", F.lit(None).cast("double"))
     return intervals.event_tags((a, "idle"), (b, "move")).select("t0", "t1", "tag", r6("mid").alias("mid"))

@@ -9,30 +9,13 @@ from sigloom.functions import geometry, textcodec, timecodec
 from sigloom.operators import channels, classify, dsp, joins, linalg, regress, spectral, validate
 from sigloom.plans.catalogue import SERIES, load, query, r6, series
 
-DFT = SERIES + """, y as (select ch, k, sum(v * cos(2 * pi() * k * (i - 1) / 128)) re, -sum(v * sin(2 * pi() * k * (i - 1) / 128)) im from s cross join (select range k from range(65)) q where i <= 128 group by ch, k)"""
-
-
-def first128(spark, d):
+def from_zero(spark, d):
     return series(spark, d).withColumn("t", F.col("i") - 1)
 
 
-@query(f"with {DFT} select ch, cast(k as int) k, round(2 * sqrt(re * re + im * im) / 128, 6) amp from y")
-def dft_amplitude(spark, d):
-    return spectral.amplitude(first128(spark, d), ["ch"], "t", "v", 128).select("ch", "k", r6("amp").alias("amp"))
-
-
 BANDS = [(0.0, 4.0), (4.0, 8.0), (8.0, 16.0), (16.0, 65.0)]
 
-
-@query(f"""
-with {DFT}, b as (select * from (values (0.0::double, 4.0::double), (4, 8), (8, 16), (16, 65)) t(lo, hi))
-select ch, lo, hi, round(sum(case when k in (0, 64) then 1 else 2 end * (re * re + im * im) / 16384), 6) power from y join b on k >= lo and k < hi group by ch, lo, hi
-""")
-def bandpower_fft(spark, d):
-    return spectral.band_power(first128(spark, d), ["ch"], "t", "v", 128, 128.0, BANDS).select("ch", "lo", "hi", r6("power").alias("power"))
-
-
-DFT_WHOLE = SERIES + """, y as (select ch, (i - 1) // 128 blk, k, sum(v * cos(2 * pi() * k * ((i - 1) % 128) / 128)) re, -sum(v * sin(2 * pi() * k * ((i - 1) % 128) / 128)) im from s cross join (select range k from range(65)) q group by all)"""
+DFT = SERIES + """, y as (select ch, (i - 1) // 128 blk, k, sum(v * cos(2 * pi() * k * ((i - 1) % 128) / 128)) re, -sum(v * sin(2 * pi() * k * ((i - 1) % 128) / 128)) im from s cross join (select range k from range(65)) q group by all)"""
 
 
 def blocks128(spark, d):
@@ -41,24 +24,24 @@ def blocks128(spark, d):
     return series(spark, d).withColumn("blk", F.floor(t / 128).cast("long")).withColumn("t", t % 128)
 
 
-@query(f"with {DFT_WHOLE} select ch, cast(blk as bigint) blk, cast(k as int) k, round(2 * sqrt(re * re + im * im) / 128, 6) amp from y")
-def dft_amplitude_whole(spark, d):
-    """dft_amplitude over all blocks of each channel."""
+@query(f"with {DFT} select ch, cast(blk as bigint) blk, cast(k as int) k, round(2 * sqrt(re * re + im * im) / 128, 6) amp from y")
+def dft_amplitude(spark, d):
+    """Every block of 128 samples of each channel."""
     return spectral.amplitude(blocks128(spark, d), ["ch", "blk"], "t", "v", 128).select("ch", "blk", "k", r6("amp").alias("amp"))
 
 
 @query(f"""
-with {DFT_WHOLE}, b as (select * from (values (0.0::double, 4.0::double), (4, 8), (8, 16), (16, 65)) t(lo, hi))
+with {DFT}, b as (select * from (values (0.0::double, 4.0::double), (4, 8), (8, 16), (16, 65)) t(lo, hi))
 select ch, cast(blk as bigint) blk, lo, hi, round(sum(case when k in (0, 64) then 1 else 2 end * (re * re + im * im) / 16384), 6) power from y join b on k >= lo and k < hi group by ch, blk, lo, hi
 """)
-def bandpower_fft_whole(spark, d):
-    """bandpower_fft over all blocks of each channel."""
+def bandpower_fft(spark, d):
+    """Every block of 128 samples of each channel."""
     return spectral.band_power(blocks128(spark, d), ["ch", "blk"], "t", "v", 128, 128.0, BANDS).select("ch", "blk", "lo", "hi", r6("power").alias("power"))
 
 
 @query(f"with {SERIES} select ch, cast(floor((i - 1) / 32) as bigint) seg, round(avg(v * v), 6) power from s group by 1, 2 having count(*) = 32")
 def segment_power(spark, d):
-    return spectral.segment_power(first128(spark, d), ["ch"], "t", "v", 32).select("ch", "seg", r6("power").alias("power"))
+    return spectral.segment_power(from_zero(spark, d), ["ch"], "t", "v", 32).select("ch", "seg", r6("power").alias("power"))
 
 
 BIQUAD = """g as (select * from (values (500.0::double, 8.0::double, 12.0::double), (256, 4, 8), (1000, 13, 30), (250, 0.5, 4)) t(fs, lo, hi)), w as (select *, tan(pi() * lo / fs) w1, tan(pi() * hi / fs) w2 from g),
@@ -74,22 +57,9 @@ def biquad_coefs(spark, d):
     return rows.select("fs", "lo", "hi", (F.col("p") + 1).alias("section"), *[r6(f"s.{c}").alias(c) for c in ("scale", "a1", "a2")])
 
 
-@query(f"""
-with recursive {SERIES}, x as (select ch, i, v from s where i <= 64),
-r(ch, i, y, z1, z2) as (select ch, i, 0.0247849::double * v, -(-1.9588637::double) * 0.0247849::double * v, -0.0247849::double * v - 0.9700202::double * 0.0247849::double * v from x where i = 1
- union all select x.ch, x.i, 0.0247849::double * x.v + r.z1, r.z2 + 1.9588637::double * (0.0247849::double * x.v + r.z1), -0.0247849::double * x.v - 0.9700202::double * (0.0247849::double * x.v + r.z1) from r join x on x.ch = r.ch and x.i = r.i + 1)
-select ch, cast(i as int) i, round(y, 6) y from r
-""")
-def biquad_filter(spark, d):
-    """One band-pass section over the first 64 samples of each channel, as a fold."""
-    b = dsp.blocks(series(spark, d).filter("i <= 64"), ["ch"], "i", "v")
-    out = b.select("ch", F.posexplode(spectral.biquad_fold(F.col("values"), F.lit(0.0247849), F.lit(-1.9588637), F.lit(0.9700202))).alias("p", "y"))
-    return out.select("ch", (F.col("p") + 1).alias("i"), r6("y").alias("y"))
-
-
 @query()
-def biquad_filter_whole(spark, d):
-    """biquad_filter over whole channels; the recursion has no SQL."""
+def biquad_filter(spark, d):
+    """Whole channels; the recursion has no SQL."""
     section = [[0.0247849, 0.0, -0.0247849, 1.0, -1.9588637, 0.9700202]]
     out = dsp.mapped(dsp.blocks(series(spark, d), ["ch"], "i", "v"), lambda x: dsp.run_sections(x, section)[0])
     return dsp.unblocked(out, ["ch"]).select("ch", F.col("idx").cast("long").alias("i"), r6("value").alias("y"))
@@ -187,51 +157,6 @@ def lda_posterior(spark, d):
     return p.select("vec_id", F.get(names, F.col("k")).alias("class"), r6("p").alias("p"))
 
 
-def neighbours(spark, d):
-    """Queries: every vector whose id is divisible by 10; rows: all the others. Eight dimensions."""
-    e = load(spark, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"))
-    return e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("q_id"), F.col("x").alias("q_x")), e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("r_id"), F.col("x").alias("r_x"), "label")
-
-
-NEAR = """e as (select vec_id id, label, embedding[1:8]::double[] x from embeddings), p as (select q.id q_id, r.id r_id, r.label, list_distance(q.x, r.x) d from e q join e r on q.id % 10 = 0 and r.id % 10 <> 0),
-n as (select *, row_number() over (partition by q_id order by d, r_id) r from p)"""
-
-
-@query(f"with {NEAR} select q_id, cast(label as int) label, round(count(*) / 7.0::double, 6) share from n where r <= 7 group by 1, 2")
-def knn_prob(spark, d):
-    q, r = neighbours(spark, d)
-    return classify.neighbour_shares(q, r, 7).select("q_id", "label", r6("share").alias("share"))
-
-
-@query(f"with {NEAR}, v as (select q_id, label, sum(1 / d) s from n where r <= 7 group by 1, 2) select q_id, cast(label as int) label, round(s / sum(s) over (partition by q_id), 6) share from v")
-def wknn_prob(spark, d):
-    q, r = neighbours(spark, d)
-    return classify.neighbour_shares(q, r, 7, weighted=True).select("q_id", "label", r6("share").alias("share"))
-
-
-@query(f"with {NEAR} select q_id, r_id, cast(r as int) rank, round(d, 6) d from n where r <= 5")
-def knn_join(spark, d):
-    q, r = neighbours(spark, d)
-    return joins.nearest(q, r.drop("label"), 5).select("q_id", "r_id", "rank", r6("d").alias("d"))
-
-
-@query("with e as (select vec_id id, embedding[1:8]::double[] x from embeddings where vec_id % 5 = 0), p as (select a.id, min(list_distance(a.x, b.x)) d from e a join e b on a.id <> b.id where list_distance(a.x, b.x) > 0 group by 1) select round(median(d), 6) nn_median from p")
-def nn_distance_median(spark, d):
-    e = load(spark, d, "embeddings").filter("vec_id % 5 = 0").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"))
-    return joins.nearest_distance_median(e, "vec_id", "x").select(r6("nn_median").alias("nn_median"))
-
-
-@query("""
-with q as (select vec_id q_id, embedding[1]::double x from embeddings where vec_id % 10 = 0), r as (select label, embedding[1]::double x from embeddings)
-select q_id, cast(label as int) label, round(avg(exp(-0.5 * ((q.x - r.x) / 0.05::double) ** 2) / (0.05::double * sqrt(2 * pi()))), 6) density from q cross join r group by 1, 2
-""")
-def parzen_pdf(spark, d):
-    e = load(spark, d, "embeddings").select("vec_id", "label", F.array(F.col("embedding")[0].cast("double")).alias("x"))
-    q = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("q_id"), F.col("x").alias("q_x"))
-    out = classify.parzen(q, e.select(F.col("vec_id").alias("r_id"), F.col("x").alias("r_x"), "label"), 0.05)
-    return out.select("q_id", "label", r6("density").alias("density"))
-
-
 # Every vector with all its dimensions, asked of all others.
 
 
@@ -240,30 +165,30 @@ def all_vectors(spark, d):
     return e.select(F.col("vec_id").alias("q_id"), F.col("x").alias("q_x")), e.select(F.col("vec_id").alias("r_id"), F.col("x").alias("r_x"), "label")
 
 
-NEAR_WHOLE = """e as (select vec_id id, label, embedding::double[] x from embeddings), p as (select q.id q_id, r.id r_id, r.label, list_distance(q.x, r.x) d from e q join e r on q.id <> r.id),
+NEAR = """e as (select vec_id id, label, embedding::double[] x from embeddings), p as (select q.id q_id, r.id r_id, r.label, list_distance(q.x, r.x) d from e q join e r on q.id <> r.id),
 n as (select *, row_number() over (partition by q_id order by d, r_id) r from p)"""
 
 
-@query(f"with {NEAR_WHOLE} select q_id, cast(label as int) label, round(count(*) / 7.0::double, 6) share from n where r <= 7 group by 1, 2")
-def knn_prob_whole(spark, d):
+@query(f"with {NEAR} select q_id, cast(label as int) label, round(count(*) / 7.0::double, 6) share from n where r <= 7 group by 1, 2")
+def knn_prob(spark, d):
     q, r = all_vectors(spark, d)
     return classify.neighbour_shares(q, r, 7, apart=True).select("q_id", "label", r6("share").alias("share"))
 
 
-@query(f"with {NEAR_WHOLE}, v as (select q_id, label, sum(1 / greatest(d, 1e-12::double)) s from n where r <= 7 group by 1, 2) select q_id, cast(label as int) label, round(s / sum(s) over (partition by q_id), 6) share from v")
-def wknn_prob_whole(spark, d):
+@query(f"with {NEAR}, v as (select q_id, label, sum(1 / greatest(d, 1e-12::double)) s from n where r <= 7 group by 1, 2) select q_id, cast(label as int) label, round(s / sum(s) over (partition by q_id), 6) share from v")
+def wknn_prob(spark, d):
     q, r = all_vectors(spark, d)
     return classify.neighbour_shares(q, r, 7, weighted=True, apart=True).select("q_id", "label", r6("share").alias("share"))
 
 
-@query(f"with {NEAR_WHOLE} select q_id, r_id, cast(r as int) rank, round(d, 6) d from n where r <= 5")
-def knn_join_whole(spark, d):
+@query(f"with {NEAR} select q_id, r_id, cast(r as int) rank, round(d, 6) d from n where r <= 5")
+def knn_join(spark, d):
     q, r = all_vectors(spark, d)
     return joins.nearest(q, r.drop("label"), 5, apart=True).select("q_id", "r_id", "rank", r6("d").alias("d"))
 
 
-@query(f"with {NEAR_WHOLE}, m as (select q_id, min(d) d from p where d > 0 group by 1) select round(median(d), 6) nn_median from m")
-def nn_distance_median_whole(spark, d):
+@query(f"with {NEAR}, m as (select q_id, min(d) d from p where d > 0 group by 1) select round(median(d), 6) nn_median from m")
+def nn_distance_median(spark, d):
     e = load(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     return joins.nearest_distance_median(e, "vec_id", "x").select(r6("nn_median").alias("nn_median"))
 
@@ -272,14 +197,14 @@ def nn_distance_median_whole(spark, d):
 with e as (select vec_id id, label, embedding::double[] x from embeddings)
 select q.id q_id, cast(r.label as int) label, round(ln(avg(exp(-0.5 * (list_distance(q.x, r.x) / 0.05::double) ** 2) / (0.05::double * sqrt(2 * pi())) ** 64)), 6) log_density from e q cross join e r group by 1, 2
 """)
-def parzen_pdf_whole(spark, d):
+def parzen_pdf(spark, d):
     """Logarithms, as densities in 64 dimensions have hundreds of digits."""
     q, r = all_vectors(spark, d)
     return classify.parzen(q, r, 0.05, dims=64).select("q_id", "label", r6(F.log("density")).alias("log_density"))
 
 
 VOTED = "w as (select q_id, label, count(*) k from n where r <= 7 group by 1, 2), z as (select q_id, label dec, row_number() over (partition by q_id order by k desc, label) o from w), c as (select dec decision, e.label truth, count(*) n from z join e on e.id = z.q_id where o = 1 group by 1, 2)"
-DECIDED, DECIDED_WHOLE = f"{NEAR}, {VOTED}", f"{NEAR_WHOLE}, {VOTED}"
+DECIDED = f"{NEAR}, {VOTED}"
 
 
 def decided(spark, d, votes=knn_prob):
@@ -291,42 +216,22 @@ def decided(spark, d, votes=knn_prob):
 
 @query(f"with {DECIDED} select cast(decision as int) decision, cast(truth as int) truth, n from c")
 def confusion_matrix(spark, d):
-    return validate.confusion(decided(spark, d))
+    return validate.confusion(decided(spark, d, knn_prob))
 
 
 @query(f"with {DECIDED} select cast(decision as int) decision, cast(truth as int) truth, round(n / sum(n) over (partition by truth), 6) share from c")
 def pconfuse(spark, d):
-    return validate.shares(validate.confusion(decided(spark, d))).select("decision", "truth", r6("share").alias("share"))
+    return validate.shares(validate.confusion(decided(spark, d, knn_prob))).select("decision", "truth", r6("share").alias("share"))
 
 
 @query(f"with {DECIDED} select round(sum(case when decision = truth then n else 0 end) / sum(n), 6) pcorrect from c")
 def pcorrect(spark, d):
-    return validate.correct(validate.confusion(decided(spark, d))).select(r6("pcorrect").alias("pcorrect"))
+    return validate.correct(validate.confusion(decided(spark, d, knn_prob))).select(r6("pcorrect").alias("pcorrect"))
 
 
 @query(f"with {DECIDED}, s as (select *, n / sum(n) over (partition by truth) share from c) select round(sum(case when decision = truth then share * 0.1::double else 0 end), 6) pcorrect from s")
 def pcorrect_prior(spark, d):
-    return validate.correct_by_prior(validate.confusion(decided(spark, d)), {k: 0.1 for k in range(10)}).select(r6("pcorrect").alias("pcorrect"))
-
-
-@query(f"with {DECIDED_WHOLE} select cast(decision as int) decision, cast(truth as int) truth, n from c")
-def confusion_matrix_whole(spark, d):
-    return validate.confusion(decided(spark, d, knn_prob_whole))
-
-
-@query(f"with {DECIDED_WHOLE} select cast(decision as int) decision, cast(truth as int) truth, round(n / sum(n) over (partition by truth), 6) share from c")
-def pconfuse_whole(spark, d):
-    return validate.shares(validate.confusion(decided(spark, d, knn_prob_whole))).select("decision", "truth", r6("share").alias("share"))
-
-
-@query(f"with {DECIDED_WHOLE} select round(sum(case when decision = truth then n else 0 end) / sum(n), 6) pcorrect from c")
-def pcorrect_whole(spark, d):
-    return validate.correct(validate.confusion(decided(spark, d, knn_prob_whole))).select(r6("pcorrect").alias("pcorrect"))
-
-
-@query(f"with {DECIDED_WHOLE}, s as (select *, n / sum(n) over (partition by truth) share from c) select round(sum(case when decision = truth then share * 0.1::double else 0 end), 6) pcorrect from s")
-def pcorrect_prior_whole(spark, d):
-    return validate.correct_by_prior(validate.confusion(decided(spark, d, knn_prob_whole)), {k: 0.1 for k in range(10)}).select(r6("pcorrect").alias("pcorrect"))
+    return validate.correct_by_prior(validate.confusion(decided(spark, d, knn_prob)), {k: 0.1 for k in range(10)}).select(r6("pcorrect").alias("pcorrect"))
 
 
 @query("""
@@ -559,15 +464,9 @@ def set_ops(spark, d):
     return channels.symmetric_difference(a, b).select(F.lit("either").alias("s"), "k").unionByName(a.intersect(b).select(F.lit("both").alias("s"), "k"))
 
 
-@query("with p as (select n_nationkey k, sum(c_acctbal) v from nation join customer on n_nationkey = c_nationkey and c_custkey % 90 = 0 group by 1), t as (select max(abs(v)) m from p) select n_nationkey k, round(coalesce(v, 0) / m, 6) scaled from nation left join p on k = n_nationkey cross join t")
-def topo_fill(spark, d):
-    c = load(spark, d, "customer").filter("c_custkey % 90 = 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("c_acctbal").alias("v"))
-    return channels.zero_filled(c, load(spark, d, "nation").select(F.col("n_nationkey").alias("k")), "k", "v").select("k", r6("scaled").alias("scaled"))
-
-
 @query("with p as (select c_nationkey k, sum(c_acctbal) v from customer group by 1), t as (select max(abs(v)) m from p) select n_nationkey k, round(coalesce(v, 0) / m, 6) scaled from nation left join p on k = n_nationkey cross join t")
-def topo_fill_whole(spark, d):
-    """topo_fill over all customers."""
+def topo_fill(spark, d):
+    """All customers."""
     c = load(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("c_acctbal").alias("v"))
     return channels.zero_filled(c, load(spark, d, "nation").select(F.col("n_nationkey").alias("k")), "k", "v").select("k", r6("scaled").alias("scaled"))
 
@@ -651,9 +550,9 @@ def whiten(spark, d):
 
 @query()
 def fkt(spark, d):
-    """Fukunaga-Koontz directions of even against odd labels."""
+    """Fukunaga-Koontz directions of even against odd labels: two from either end."""
     e = vectors(spark, d).withColumn("side", F.col("label") % 2)
-    t, lam = linalg.fkt(linalg.statistics(e, "x", 8, "side"), 0.6)
+    t, lam = linalg.fkt(linalg.statistics(e, "x", 8, "side"), 2, 2)
     return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(lam)], "k int, eigenvalue double")
 
 
@@ -737,7 +636,8 @@ def replayed(spark, d):
     from pyspark.sql.types import StructType
 
     schema: StructType = load(spark, d, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern: the path may be one file.withColumn("ts", F.col("ts").cast("timestamp"))
+    # a pattern: the path may be one file
+    return spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(stream, mode: str):

@@ -51,7 +51,7 @@ def test_whole_channels_are_filtered_and_drawn(spark, monkeypatch):
     ch = {}
     for r in catalogue.series(spark, DATA).orderBy("ch", "i").collect():
         ch.setdefault(r["ch"], []).append(r["v"])
-    got = {(r["ch"], r["i"]): r["y"] for r in catalogue.QUERIES["biquad_filter_whole"](spark, DATA).collect()}
+    got = {(r["ch"], r["i"]): r["y"] for r in catalogue.QUERIES["biquad_filter"](spark, DATA).collect()}
     assert len(got) == sum(map(len, ch.values()))
     for c, v in ch.items():
         y = []
@@ -59,7 +59,7 @@ def test_whole_channels_are_filtered_and_drawn(spark, monkeypatch):
             past = lambda a, k: a[i - k] if i >= k else 0.0
             y.append(0.0247849 * (x - past(v, 2)) + 1.9588637 * past(y, 1) - 0.9700202 * past(y, 2))
         assert [got[c, i + 1] for i in range(len(v))] == pytest.approx(y, abs=2e-6)
-    blocks = {(r["ch"], r["blk"]) for r in catalogue.QUERIES["dft_amplitude_whole"](spark, DATA).select("ch", "blk").collect()}
+    blocks = {(r["ch"], r["blk"]) for r in catalogue.QUERIES["dft_amplitude"](spark, DATA).select("ch", "blk").collect()}
     assert blocks == {(c, b) for c, v in ch.items() for b in range(-(-len(v) // 128))}
     taken = []
     monkeypatch.setattr(catalogue2.regress, "surrogate_r2", lambda spark, x, y, n: taken.append(len(x)) or spark.createDataFrame([(0, 0.0)], "draw long, r2 double"))
