@@ -3,7 +3,7 @@
 Text is cut where no piece can span (before each run of blanks that follows a non-blank), and only distinct words are
 encoded. Words of equal length advance together, one end position at a time: substring hashes are looked up among the sorted
 hashes of all pieces, every start position gives a candidate, and the maximum over the candidates' scores is stored with its
-start as a backpointer.
+start as a backpointer. Words over ALONE characters go through the same programme one by one.
 
 Which maximum: for a unigram model the scores are sums of piece scores (Viterbi). The public model at hand is a BPE model, whose
 result isn't the path of the largest sum. Its last piece at a position is the one that BPE leaves next to the last piece of
@@ -13,7 +13,7 @@ merged step by step instead, so ids equal those of the library in all cases.
 
 Cases: null and empty texts have no ids and decode to the empty text; a character without a piece becomes the pieces of its UTF-8
 bytes; U+2581 in a text decodes as a blank, as the format has it; very long texts and words are encoded whole; repeated rows
-get equal results; an empty table gives an empty result; columns other than those named are not looked at.
+get equal results; of equal scores the longest piece's stays; an empty table gives an empty result; columns other than those named are not looked at.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ from sigloom.llm.common import table, thrifty
 
 BLANK = "▁"
 WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-#: Words longer than this are rare; they are merged one by one.
-LONGEST = 48
+#: Words longer than this are rare, so few are of equal length: each is advanced by itself, with its substrings looked up all at once.
+ALONE = 48
+#: Beyond so many judged pairs of pieces an encoder forgets them.
+PAIRS = 1_000_000
 #: Beyond so many distinct words a worker forgets those that it hasn't met since it last did so.
 REMEMBERED = 400_000
 #: Ends of one batch of words of a length.
@@ -208,6 +210,7 @@ class Encoder:
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.alone_pairs: dict[tuple[int, int], bool] = {}
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether BPE leaves these two side by side; ids from 0, and -2 - code for a character without a piece."""
@@ -271,11 +274,54 @@ class Encoder:
             else:
                 self.words[word] = tuple([k for i in path if i != -1 for k in ([i] if i >= 0 else p.of_parts([chr(-2 - i)]))])
 
+    def side_by_side(self, left: int, right: int) -> bool:
+        """fits() of one pair, remembered."""
+        if (known := self.alone_pairs.get((left, right))) is None:
+            if len(self.alone_pairs) >= PAIRS:
+                self.alone_pairs.clear()
+            known = self.alone_pairs[left, right] = bool(self.fits(np.array([left]), np.array([right]))[0])
+        return known
+
+    def alone(self, word: str) -> tuple[int, ...]:
+        """The ids of one word: the substrings of each length are looked up at all places at once, then the ends are gone through."""
+        p, n = self.p, len(word)
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        grown, h = codes.astype(np.uint64) + np.uint64(1), np.zeros(n + 1, np.uint64)
+        ends, sizes, found = [], [], []
+        for size in range(1, min(p.longest, n) + 1):
+            h = (h[1:] + grown[: n - size + 1]) * _MUL
+            got = p.lookup(h ^ (h >> np.uint64(31)) * _MIX)
+            if size == 1:
+                got = np.where(got < 0, -2 - codes, got)
+            at = np.flatnonzero(got != -1)
+            ends.append(at + size)
+            sizes.append(np.full(len(at), size))
+            found.append(got[at])
+        end, size, got = map(np.concatenate, (ends, sizes, found))
+        order = np.lexsort((-size, end))  # at an end the longest first, as for words of equal length
+        piece, start, best = [-1] * (n + 1), [-1] * (n + 1), [-np.inf] * (n + 1)
+        best[0] = 0.0
+        low = float(p.scores.min()) - 10
+        for e, k, i in zip(end[order].tolist(), size[order].tolist(), got[order].tolist()):
+            s = e - k
+            if best[s] == -np.inf or p.bpe and best[e] > -np.inf:
+                continue
+            score = float(e) if p.bpe else best[s] + (float(p.scores[i]) if i >= 0 else low)
+            if score > best[e] and (not p.bpe or not s or self.side_by_side(piece[s], i)):
+                best[e], piece[e], start[e] = score, i, s
+        if best[n] == -np.inf:
+            return tuple(p.of_parts(self.long_merged(word)))
+        path, e = [], n
+        while e:
+            path.append(piece[e])
+            e = start[e]
+        return tuple(k for i in reversed(path) for k in ([p.numbers[i]] if i >= 0 else p.of_parts([chr(-2 - i)])))
+
     def learn(self, words: Iterable[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for w in words:
-            if len(w) > LONGEST and self.p.bpe:
-                self.words[w] = tuple(self.p.of_parts(self.long_merged(w)))
+            if len(w) > ALONE:
+                self.words[w] = self.alone(w)
             else:
                 by_length.setdefault(len(w), []).append(w)
         for length, same in by_length.items():
