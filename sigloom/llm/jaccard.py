@@ -10,7 +10,8 @@ Texts are sets of word 5-grams; two texts are linked if their sets' Jaccard simi
    pairs are all compared. The number of runs follows from the target recall.
    Runs come in a few parts, each after the components of those before it.
 3. Sets that passed are put together into components, and within a component all pairs' exact similarities are computed, in blocks
-   of bounded size. Links are counted there and nowhere written as pairs, so large groups of near copies stay linear in rows.
+   of bounded size. Links are counted there and nowhere written as pairs: the result is linear in rows. What is shipped isn't:
+   a component of N different sets is cut into N / 2048 blocks or more (long texts: fewer sets a block), each shipped once per block.
 
 Result: one row per document with its class (the smallest doc_id of those it hangs together with by links) and its number of links.
 
@@ -36,8 +37,11 @@ from sigloom.llm.common import deleted, released, table, thrifty, written
 WORDS, SIMILARITY = 5, 0.8
 #: Picks expected per set and level; levels; the recall that the number of runs is chosen for.
 PICKS, LEVELS, RECALL = 1.5, 3, 0.9995
-#: The most sets of a bucket that is compared at once; sets of a block in the exact comparison.
+#: The most sets of a bucket that is compared at once; sets that are compared at once in the exact comparison.
 BUCKET, BLOCK = 4096, 256
+#: The most sets and about the most tokens of a block that two blocks of a component meet in one task: a set's tokens are shipped once per
+#: block, so blocks are as large as a task's memory and its share of the work allow.
+BLOCK_SETS, BLOCK_TOKENS = 2048, 1 << 18
 BINS = 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64), dtype=np.uint64)
@@ -253,22 +257,31 @@ def linked_in_blocks(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
         if not len(one) or two is not None and not len(two):
             continue
         sets = lambda rows: [flat[ends[r] : ends[r + 1]] for r in rows]
-        other = one if two is None else two
-        if two is None and len(one) == 2:
-            x, y = sets(one)
-            shared = float(len(np.intersect1d(x, y, assume_unique=True)))
-            common = np.array([[len(x), shared], [shared, len(y)]])
-        else:
-            common = intersections(sets(one), None if two is None else sets(two))
         sizes = np.diff(ends)
-        ok = common >= SIMILARITY * (sizes[one][:, None] + sizes[other][None, :] - common) - 1e-9
-        if two is None:
-            np.fill_diagonal(ok, False)
-        links[one] += ok @ weight[other]
-        if two is not None:
-            links[other] += ok.T @ weight[one]
-        a, b = np.nonzero(ok)
-        root[lo:hi] = roots(hi - lo, one[a] - lo, other[b] - lo) + lo
+        left, right = [], []
+        pieces = [one[k : k + BLOCK] for k in range(0, len(one), BLOCK)]
+        others = pieces if two is None else [two[k : k + BLOCK] for k in range(0, len(two), BLOCK)]
+        for i, x in enumerate(pieces):
+            for j, y in enumerate(others):
+                if two is None and j < i:
+                    continue
+                same = two is None and i == j
+                if same and len(x) == 2:
+                    p, q = sets(x)
+                    shared = float(len(np.intersect1d(p, q, assume_unique=True)))
+                    common = np.array([[len(p), shared], [shared, len(q)]])
+                else:
+                    common = intersections(sets(x), None if same else sets(y))
+                ok = common >= SIMILARITY * (sizes[x][:, None] + sizes[y][None, :] - common) - 1e-9
+                if same:
+                    np.fill_diagonal(ok, False)
+                links[x] += ok @ weight[y]
+                if not same:
+                    links[y] += ok.T @ weight[x]
+                a, b = np.nonzero(ok)
+                left.append(x[a] - lo)
+                right.append(y[b] - lo)
+        root[lo:hi] = roots(hi - lo, np.concatenate(left), np.concatenate(right)) + lo
     return pa.RecordBatch.from_arrays([sid, sid.take(pa.array(root)), pa.array(links)], ["sid", "root", "links"])
 
 
@@ -362,8 +375,9 @@ def after_runs(rows: DataFrame, sets: DataFrame, near: DataFrame | None, runs: t
 
 def exact_links(docs: DataFrame, sets: DataFrame, near: DataFrame, doc_id: str, text: str) -> DataFrame:
     """sid, root, links: within each component, per block or pair of blocks."""
-    size = near.groupBy("root").agg(F.count("*").alias("size"))
-    mine = near.join(size, "root").join(sets.select(F.col("sid").alias("node"), "weight", "carrier"), "node")
+    mine = near.join(sets.select(F.col("sid").alias("node"), "weight", "carrier", "n"), "node")
+    size = mine.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_TOKENS)).alias("size"))
+    mine = mine.join(size, "root")
     mine = mine.select(F.col("node").alias("sid"), F.col("root").alias("comp"), "size", "weight", F.col("carrier.doc_id").alias("_id"), F.col("carrier.text_key").alias("_key"))
     mine = listed(near, BROADCAST_SETS)(mine)
     texts = docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_text_key"), F.col(text).alias("_text"))
@@ -376,7 +390,7 @@ def exact_links(docs: DataFrame, sets: DataFrame, near: DataFrame, doc_id: str,
             yield pa.RecordBatch.from_arrays([*b.columns[:4], lists], ["comp", "sid", "size", "weight", "tokens"])
 
     held = held.mapInArrow(tokenised, "comp binary, sid binary, size long, weight long, tokens array<long>")
-    blocks = halves(held, ["comp"], "size", BLOCK).select("comp", "i", "j", "side", "sid", "weight", "tokens")
+    blocks = halves(held, ["comp"], "size", 1).select("comp", "i", "j", "side", "sid", "weight", "tokens")
     return written(sorted_by(blocks, "comp", "i", "j").mapInArrow(thrifty(lambda b: by_group(b, ["comp", "i", "j"], linked_in_blocks)), "sid binary, root binary, links long"), "exact")
 
 
@@ -409,15 +423,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class of near copies, with all its columns. The rows that go, and repeated rows of those that stay,
     are the smaller part, so the texts are joined with these."""
-    found = written(near_duplicates(docs, doc_id, text).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("stays").alias("_stays"), F.count("*").alias("_n")).filter("not _stays or _n > 1"), "goes")
-    marked = docs.withColumn("_k", F.xxhash64(text))
-    here = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))
+    k, ident, key, stays, n = (free(docs, x) for x in ("_k", "_id", "_key", "_stays", "_n"))
+    found = near_duplicates(docs, doc_id, text).groupBy(F.col("doc_id").alias(ident), F.col("text_key").alias(key)).agg(F.first("stays").alias(stays), F.count("*").alias(n))
+    found = written(found.filter(~F.col(stays) | (F.col(n) > 1)), "goes")
+    marked = docs.withColumn(k, F.xxhash64(text))
+    here = F.col(doc_id).eqNullSafe(F.col(ident)) & (F.col(k) == F.col(key))
     small = F.broadcast if found.count() <= BROADCAST_SETS else (lambda df: df)
-    once = marked.join(small(found.select("_id", "_key")), here, "left_anti").drop("_k")
-    repeated = found.filter("_stays").select("_id", "_key")
+    once = marked.join(small(found.select(ident, key)), here, "left_anti").drop(k)
+    repeated = found.filter(F.col(stays)).select(ident, key)
     if repeated.isEmpty():
         return once
-    return once.unionByName(marked.join(small(repeated), here, "left_semi").dropDuplicates([doc_id, "_k"]).drop("_k"))
+    return once.unionByName(marked.join(small(repeated), here, "left_semi").dropDuplicates([doc_id, k]).drop(k))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, with so many underscores after it that no column has it."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,7 @@ def test_jaccard_blocks_and_levels(spark, monkeypatch):
     """Small limits, so that buckets are split to the last level and groups are cut into blocks."""
     monkeypatch.setattr(jaccard, "BUCKET", 6)
     monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 12)
     rng = np.random.default_rng(3)
     base = sentence(rng, 60).split()
     texts = []
@@ -155,6 +156,8 @@ def test_jaccard_odd_rows(spark, odd, none):
     links = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in out.collect()}
     assert links[4] == (4, 3) and links[5] == (4, 3) and links[0] == (0, 2) and links[6] == (6, 0) and links[None][1] == 0
     assert jaccard.near_duplicates(none).count() == 0
+    named = jaccard.deduplicated(odd.withColumn("_k", F.lit("a")).withColumn("_id", F.lit(1)).withColumn("_n", F.lit(2)))
+    assert {tuple(r)[-3:] for r in named.collect()} == {("a", 1, 2)} and named.count() == 6
     kept = jaccard.deduplicated(odd)
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [0, 3, 4, 6, None, 8])) and kept.columns == odd.columns
 
@@ -287,6 +290,18 @@ def test_langid_held_out():
     assert (m.weights == 0).mean() > 0.5 and langid.fit([], [], np.ones(1 << langid.BITS)).predict("abc") == (langid.UND, 0.0)
 
 
+def test_langid_learns_all_languages(spark, monkeypatch):
+    """More languages than the model has room for at full width: fewer buckets, no language left out."""
+    monkeypatch.setattr(langid, "CELLS", 1 << 15)
+    rng = np.random.default_rng(13)
+    alphabets = {f"l{k:02d}": rng.choice([chr(c) for c in range(97, 123)] + [chr(c) for c in range(0x430, 0x450)], 6, replace=False) for k in range(12)}
+    rows = [(k, sentence(rng, 15, a), x) for k, (x, a) in enumerate(list(alphabets.items()) * 20)] + [(999, "abc", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.trained(df)
+    assert m.langs == sorted(alphabets) and len(m.idf) == 1 << langid.bits_for(12) < 1 << langid.BITS
+    assert np.mean([m.predict(sentence(rng, 15, a))[0] == x for x, a in alphabets.items() for _ in range(5)]) > 0.9
+
+
 def test_ngrams_in_pieces(monkeypatch):
     text = "Some Text   with\tspaces and ünïcode " * 20
     whole = np.sort(np.concatenate(list(ngrams.hashed(text, (1, 3, 5), 16))))
@@ -465,6 +480,9 @@ def test_pieces_equal_the_library():
     assert got == lib.encode(texts)
     assert [own.p.decode(x) for x in got] == texts
     assert own.encode([None]) == [[]]
+    long = ["".join(rng.choice(list("abcdeorstinABCß☃日本語のは123_."), n)) for n in (49, 300, 3000, 20000)] + ["http://www.example.com/" + "path/of/words-" * 40, "日本語のテキストは" * 60]
+    assert own.encode(long) == lib.encode(long)
+    assert all(own.alone(w) == own.words[w] for w in list(own.words)[:2000] if 1 < len(w) <= pieces.ALONE)
 
 
 def test_unigram_takes_the_best_sum():
