@@ -33,9 +33,9 @@ ORDERS, BITS = (3, 4, 5), 20
 #: The most labelled rows of each class that the classifier is fitted on.
 PER_CLASS = 2500
 #: The most n-grams that the classifier looks at, and how many standard errors apart their shares in the classes must be.
-FEATURES, LEAST_Z = 1 << 15, 2.0
+FEATURES, LEAST_Z = 1 << 13, 2.0
 #: Penalties of the fit, its steps, and the folds of the calibration.
-L1, L2, STEPS, FOLDS = 1e-3, 1e-4, 250, 5
+L1, L2, STEPS, FOLDS = 1e-3, 1e-4, 150, 3
 #: Documents whose score reaches this are called toxic.
 THRESHOLD = 0.7
 
