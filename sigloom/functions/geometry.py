@@ -23,8 +23,9 @@ def circle_through(x1: Column, y1: Column, x2: Column, y2: Column, x3: Column, y
     return F.when(d != 0, F.struct(cx.alias("x"), cy.alias("y"), F.sqrt((x1 - cx) * (x1 - cx) + (y1 - cy) * (y1 - cy)).alias("r")))
 
 
-def segment_distance(p1, p2, p3, p4) -> Column:
-    """The smallest distance between the segments p1-p2 and p3-p4 (triples of columns).
+def closest(p1, p2, p3, p4) -> Column:
+    """Struct (dist, s, t): the smallest distance between the segments p1-p2 and p3-p4 (triples of columns), and how far along either
+    the points lie that are so close (0 to 1; of several pairs one).
 
     The squared distance is a convex quadratic in both segments' parameters; its minimum is inside, or on one of four edges.
     """
@@ -36,11 +37,17 @@ def segment_distance(p1, p2, p3, p4) -> Column:
     far = lambda s, t: F.sqrt(sum((w[k] + s * u[k] - t * v[k]) * (w[k] + s * u[k] - t * v[k]) for k in range(3)))
     best_s = lambda t: F.when(a > 0, clamp((t * b - d) / a)).otherwise(0.0)
     best_t = lambda s: F.when(c > 0, clamp((s * b + e) / c)).otherwise(0.0)
-    edges = [far(F.lit(k), best_t(F.lit(k))) for k in (0.0, 1.0)] + [far(best_s(F.lit(k)), F.lit(k)) for k in (0.0, 1.0)]
+    pairs = [(F.lit(k), best_t(F.lit(k))) for k in (0.0, 1.0)] + [(best_s(F.lit(k)), F.lit(k)) for k in (0.0, 1.0)]
     det = a * c - b * b
     s, t = F.when(det > 1e-12, (b * e - c * d) / det), F.when(det > 1e-12, (a * e - b * d) / det)
-    inside = F.when((det > 1e-12) & s.between(0, 1) & t.between(0, 1), far(s, t))
-    return F.coalesce(inside, F.least(*edges))
+    inside = (det > 1e-12) & s.between(0, 1) & t.between(0, 1)
+    found = lambda s, t: F.struct(far(s, t).alias("dist"), s.cast("double").alias("s"), t.cast("double").alias("t"))
+    return F.when(inside, found(s, t)).otherwise(F.array_min(F.array(*[found(*p) for p in pairs])))
+
+
+def segment_distance(p1, p2, p3, p4) -> Column:
+    """The smallest distance between the segments p1-p2 and p3-p4 (triples of columns)."""
+    return closest(p1, p2, p3, p4)["dist"]
 
 
 def flattened(x: Column, y: Column, z: Column) -> Column:
@@ -50,8 +57,10 @@ def flattened(x: Column, y: Column, z: Column) -> Column:
     return F.struct((angle * F.cos(around)).alias("x"), (angle * F.sin(around)).alias("y"))
 
 
-# fixed values: rows of the electrode grid from front to back by the letters of a name, and columns by its digits (odd left, even right, z middle)
-ROWS = {"NZ": 6, "FP": 5, "AF": 4, "F": 3, "FC": 2, "FT": 2, "C": 1, "T": 1, "CP": 0, "TP": 0, "P": -1, "PO": -2, "O": -3, "I": -4}
+# fixed values: rows of the electrode grid from front to back by the letters of a name, and columns by its digits (odd left, even right, z
+# middle); ears and mastoids lie outside the columns
+ROWS = {"N": 5, "FP": 4, "AF": 3, "F": 2, "FC": 1, "FT": 1, "A": 0, "C": 0, "T": 0, "CP": -1, "TP": -1, "M": -1, "P": -2, "PO": -3, "O": -4, "I": -5}
+OUTSIDE = {"A1": -6, "M1": -6, "A2": 6, "M2": 6}
 
 
 def grid_position(name: Column) -> Column:
@@ -62,7 +71,10 @@ def grid_position(name: Column) -> Column:
     for key, row in ROWS.items():
         v = F.when(letters == key, row) if v is None else v.when(letters == key, row)
     n = digits.try_cast("int")
-    h = F.when(digits == "Z", 0).when(n % 2 == 1, -F.floor((n + 1) / 2)).otherwise(F.floor(n / 2)).cast("int")
+    side = None
+    for key, column in OUTSIDE.items():
+        side = F.when(name == key, column) if side is None else side.when(name == key, column)
+    h = side.when(digits == "Z", 0).when(n % 2 == 1, -F.floor((n + 1) / 2)).otherwise(F.floor(n / 2)).cast("int")
     return F.when(v.isNotNull() & h.isNotNull(), F.struct(h.alias("h"), v.alias("v")))
 
 

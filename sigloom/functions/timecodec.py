@@ -12,6 +12,20 @@ OLE_OFFSET = 2209161600
 UNITS = ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB", "ZiB", "YiB")
 
 
+def unixtime() -> Column:
+    """Seconds since 1970, now (one value for a query)."""
+    return F.current_timestamp().cast("double")
+
+
+def unix_to_datetime(t: Column) -> Column:
+    """A timestamp (UTC) of seconds since 1970."""
+    return F.timestamp_micros(F.round(t * 1000000).cast("long"))
+
+
+def datetime_to_unix(at: Column) -> Column:
+    return F.unix_micros(at) / 1000000
+
+
 def unix_to_tai(t: Column) -> Column:
     return t + TAI_OFFSET
 

@@ -72,6 +72,25 @@ def mutual_labels(a: DataFrame, b: DataFrame, label: str) -> tuple[DataFrame, Da
     return a.join(b.select(label).distinct(), label, "left_semi"), b.join(a.select(label).distinct(), label, "left_semi")
 
 
+def whitelisted(train: DataFrame, test: DataFrame, label: str, wanted: Sequence) -> tuple[DataFrame, DataFrame]:
+    """Rows of both sides whose label is wanted and occurs in both. wanted: a short list."""
+    listed = [t.filter(F.col(label).isin(list(wanted))) for t in (train, test)]
+    return mutual_labels(*listed, label)
+
+
+def subset(df: DataFrame, names: Sequence[str] | None = None, first: float | None = None, last: float | None = None, channel: str = "ch", idx: str = "i") -> DataFrame:
+    """Samples of the named channels (all if None) from first to last, both included: plain predicates, so they reach the scan."""
+    out = df if names is None else df.filter(F.col(channel).isin(list(names)))
+    out = out if first is None else out.filter(F.col(idx) >= first)
+    return out if last is None else out.filter(F.col(idx) <= last)
+
+
+def equal_cells(a: Column, b: Column) -> Column:
+    """Whether two arrays have the same length and equal elements; nulls equal nulls."""
+    same = F.forall(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda x: x)
+    return F.when(F.size(a) == F.size(b), same).otherwise(False)
+
+
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b).unionByName(b.subtract(a))
 

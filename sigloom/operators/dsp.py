@@ -265,13 +265,16 @@ def segmented_power(x: np.ndarray, fs: float, bands: Sequence[tuple[float, float
 
 
 def stft(x: np.ndarray, fs: float, window: int, nfft: int | None = None, causal: bool = True) -> np.ndarray:
-    """Magnitudes (samples x frequencies) of the window that ends at (or is centred on) each sample; NaN where it doesn't fit."""
+    """Magnitudes (samples x frequencies) of the window that ends at (or is centred on) each sample, less its straight line; NaN where
+    it doesn't fit."""
     nfft = nfft or window
     out = np.full((len(x), nfft // 2 + 1), np.nan)
     if len(x) >= window:
         cut = np.lib.stride_tricks.sliding_window_view(x, window)
         first = window - 1 if causal else window // 2
-        out[first : first + len(cut)] = np.abs(np.fft.rfft(cut - cut.mean(1, keepdims=True), nfft))
+        t = np.arange(window) - (window - 1) / 2
+        level = cut - cut.mean(1, keepdims=True)
+        out[first : first + len(cut)] = np.abs(np.fft.rfft(level - np.outer(level @ t / max(t @ t, 1e-300), t), nfft))
     return out
 
 

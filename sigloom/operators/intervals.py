@@ -108,6 +108,39 @@ def put_bounds(bounds: DataFrame, length: int, value: str | None = None, order:
     return axis.join(last, "idx", "left").select("idx", F.coalesce("v", F.lit(default)).alias("value"))
 
 
+def put_bounds_seconds(bounds: DataFrame, fs: float, length: int, value: str | None = None, order: str = "ord", default=0) -> DataFrame:
+    """put_bounds of bounds in seconds from 0 at fs samples a second; an end's sample doesn't count any more."""
+    samples = bounds.withColumn("start", F.round(F.col("start") * fs + 1)).withColumn("end", F.round(F.col("end") * fs + 1) - 1)
+    return put_bounds(samples.filter(F.col("end") >= F.col("start")), length, value, order, default)
+
+
+def holding(bounds: DataFrame, points: DataFrame, by: Sequence[str], at: str, least: int) -> DataFrame:
+    """Bounds (start, end) that hold at least so many points: a range join, counted before the bounds come back."""
+    b, p = bounds.alias("b"), points.select(*by, F.col(at).alias("_at")).alias("p")
+    same = [F.col(f"b.{k}") == F.col(f"p.{k}") for k in by]
+    inside = F.col("p._at").between(F.col("b.start"), F.col("b.end"))
+    keys = [F.col(f"b.{k}").alias(k) for k in (*by, "start", "end")]
+    counted = b.join(p, [*same, inside]).groupBy(*keys).agg(F.count("*").alias("held"))
+    return counted.filter(F.col("held") >= least)
+
+
+def threshold_line(axis: DataFrame, points: DataFrame, by: Sequence[str], idx: str, at: str = "at", level: str = "level", out: str = "thr") -> DataFrame:
+    """axis with the level of the line through its group's points (by, at, level), whose first and last levels go on to the ends.
+
+    One window per group over both tables, in order: the last point before and the first one after each sample.
+    """
+    mark = F.struct(F.col(at).cast("double").alias("x"), F.col(level).cast("double").alias("y"))
+    marks = points.select(*by, F.col(at).cast("double").alias("_x"), mark.alias("_m"), F.lit(0).alias("_k")).dropDuplicates([*by, "_x"])
+    both = axis.withColumn("_x", F.col(idx).cast("double")).withColumn("_k", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    back = Window.partitionBy(*by).orderBy("_x", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_x"), "_k").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_p", F.last("_m", ignorenulls=True).over(back)).withColumn("_n", F.last("_m", ignorenulls=True).over(ahead))
+    p, n, x = F.col("_p"), F.col("_n"), F.col("_x")
+    line = F.when(p["x"] == n["x"], p["y"]).otherwise(p["y"] + (x - p["x"]) * (n["y"] - p["y"]) / F.nullif(n["x"] - p["x"], F.lit(0.0)))
+    found = F.when(p.isNull(), n["y"]).when(n.isNull(), p["y"]).otherwise(line)
+    return both.withColumn(out, found).filter("_k = 1").select(*axis.columns, out)
+
+
 def split_bounds(bounds: DataFrame, parts: int, skip: float = 0.0) -> DataFrame:
     """Each interval, less its first `skip`, in equal parts; intervals that are not longer than that give none."""
     span = (F.col("end") - F.col("start") - skip) / parts

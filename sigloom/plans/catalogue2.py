@@ -492,16 +492,23 @@ def circle_3pt(spark, d):
     return points(spark, d).select("k", c.alias("c")).filter("c is not null").select("k", *[F.round(f"c.{x}", 5).alias(x) for x in "xyr"])
 
 
-@query()
+#: The quadratic's parameters from the definition: w = p1 - p3, u = p2 - p1, v = p4 - p3; a t for an s, an s for a t, and the five candidates.
+SEGMENTS = f"""{POINTS}, g as (select k, 1.0::double a, (c - a) + 0.0::double b, (c - a) ** 2 + (e - b) ** 2 + 1 cc, 0 - a d, -(a * (c - a)) - b * (e - b) ee, a wa, b wb, c - a va, e - b vb from p),
+q as (select *, a * cc - b * b det from g), m as (select *, case when det > 1e-12 then (b * ee - cc * d) / det end s0, case when det > 1e-12 then (a * ee - b * d) / det end t0 from q),
+x as (select *, unnest([{{s: 0.0, t: greatest(0, least(1, ee / cc))}}, {{s: 1.0, t: greatest(0, least(1, (b + ee) / cc))}}, {{s: greatest(0, least(1, -d / a)), t: 0.0}}, {{s: greatest(0, least(1, (b - d) / a)), t: 1.0}}, {{s: s0, t: t0}}]) z from m),
+y as (select k, sqrt((-wa + z.s - z.t * va) ** 2 + (-wb - z.t * vb) ** 2 + (z.t) ** 2) f from x where z.s between 0 and 1 and z.t between 0 and 1)"""
+
+
+@query(f"with {SEGMENTS} select k, round(min(f), 6) dist from y group by k")
 def segment_distance(spark, d):
     zero, one = F.lit(0.0), F.lit(1.0)
     dist = geometry.segment_distance((zero, zero, zero), (one, zero, F.col("a") * 0), (F.col("a"), F.col("b"), zero), (F.col("c"), F.col("e"), one))
     return points(spark, d).select("k", r6(dist).alias("dist"))
 
 
-@query("select e \"name\", cast(h as int) h, cast(v as int) v from (values ('Fz', 0, 3), ('C3', -2, 1), ('PO8', 4, -2), ('FC1', -1, 2), ('Oz', 0, -3), ('T8', 4, 1)) t(e, h, v)")
+@query("select e \"name\", cast(h as int) h, cast(v as int) v from (values ('Fz', 0, 2), ('C3', -2, 0), ('PO8', 4, -3), ('FC1', -1, 1), ('Oz', 0, -4), ('T8', 4, 0), ('A1', -6, 0), ('M2', 6, -1), ('FT10', 5, 1), ('Nz', 0, 5)) t(e, h, v)")
 def grid_coord(spark, d):
-    n = spark.createDataFrame([(x,) for x in ("Fz", "C3", "PO8", "FC1", "Oz", "T8", "??")], "name string")
+    n = spark.createDataFrame([(x,) for x in ("Fz", "C3", "PO8", "FC1", "Oz", "T8", "A1", "M2", "FT10", "Nz", "??")], "name string")
     return n.select("name", geometry.grid_position(F.col("name")).alias("g")).filter("g is not null").select("name", "g.h", "g.v")
 
 

@@ -35,6 +35,49 @@ def referenced(row: Column) -> Column:
     return F.transform(F.array(mean), lambda m: F.transform(row, lambda v: v - m))[0]
 
 
+def scaled(samples: DataFrame, factors: DataFrame, by: str = "channel", value: str = "value", out: str = "volts") -> DataFrame:
+    """Raw counts times their channel's factor. factors: channel, factor; one row a channel, so a small side of the join."""
+    return samples.join(factors, by).withColumn(out, F.col(value) * F.col("factor")).drop("factor")
+
+
+def centred(samples: DataFrame, window: list[str], value: str = "value", spread: bool = False, out: str = "centred") -> DataFrame:
+    """Samples less the median of their display window (columns of `window`), or, with spread, as standard scores in it."""
+    v = F.col(value).cast("double")
+    level = samples.groupBy(*window).agg(*([F.avg(v).alias("_m"), F.stddev_samp(v).alias("_s")] if spread else [F.median(v).alias("_m")]))
+    scored = (v - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.lit(1.0)) if spread else v - F.col("_m")
+    return samples.join(level, list(window)).withColumn(out, scored).drop("_m", "_s")
+
+
+def gaps(triggers: DataFrame, by: list[str], at: str, warn: float, stop: float | None = None) -> DataFrame:
+    """Times between a source's triggers over `warn` seconds: by, since, until, seconds, and whether they'd have stopped the recording."""
+    w = Window.partitionBy(*by).orderBy(at)
+    since = F.lag(at).over(w)
+    seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1000000 - F.unix_micros(F.col("since").cast("timestamp")) / 1000000
+    out = triggers.select(*by, F.col(at).alias("until"), since.alias("since")).withColumn(at, F.col("until")).withColumn("seconds", seconds).drop(at)
+    return out.filter(F.col("seconds") > warn).withColumn("stopped", F.lit(False) if stop is None else F.col("seconds") > stop)
+
+
+def over_voltage(p2p: DataFrame, level: float, sane: float | None = None) -> DataFrame:
+    """p2p (channel, p2p, changes) with state: stuck, normal, over, or (from `sane` on) failed."""
+    state = F.when(~F.col("changes"), "stuck")
+    if sane is not None:
+        state = state.when(F.abs("p2p") >= sane, "failed")
+    return p2p.withColumn("state", state.when(F.abs("p2p") < level, "normal").otherwise("over"))
+
+
+def normal_score(states: DataFrame, by: list[str]) -> DataFrame:
+    """How many channels are normal, less 0.8 of all channels for each that is over."""
+    n = F.count("*")
+    return states.groupBy(*by).agg((F.count_if(F.col("state") == "normal") - F.count_if(F.col("state") == "over") * n * 0.8).alias("score"))
+
+
+def ring(samples: DataFrame, by: list[str], idx: str, size: int) -> DataFrame:
+    """The samples that a ring of `size` places holds after the last one, with their place (from 0) and age (0: the newest)."""
+    last = samples.groupBy(*by).agg(F.max(idx).alias("_z"))
+    held = samples.join(last, list(by)).filter(F.col(idx) > F.col("_z") - size)
+    return held.withColumn("place", F.pmod(F.col(idx) - 1, F.lit(size))).withColumn("age", F.col("_z") - F.col(idx)).drop("_z")
+
+
 def packet_loss(samples: DataFrame, by: list[str], order: str, wide: bool = True) -> DataFrame:
     """Lost, received and the share lost, from the jumps of the diagnostic counter: in wide frames a step other than 1 is a loss,
     in narrow ones (counter by 2, modulo 64) the missing steps are counted."""

@@ -7,7 +7,7 @@ import os
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
-from sigloom.plans import catalogue, catalogue2  # noqa: E402, F401
+from sigloom.plans import catalogue, catalogue2, catalogue3  # noqa: E402, F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
