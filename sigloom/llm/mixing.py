@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 
 from sigloom.llm.common import deleted, let, table, written
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 15
 #: The most labelled rows of a domain that the classifier learns from.
 PER_DOMAIN = 3000
 #: Every domain is given so many texts that are like the average of all.
 PSEUDO = 10
 #: Only buckets whose share of a domain's texts is so many standard errors from that of all labelled texts say anything.
 LEAST_Z = 3.0
+#: ... and that so many labelled texts have.
+LEAST = 2
 #: How much the fit is drawn towards rates of 1, which picks one of many solutions; totals miss targets by about this times the largest rate.
 PULL = 1e-6
 #: Domains of the label table, and what share of all tokens each should have.
@@ -61,16 +63,19 @@ def labelled(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN) -
 
 
 def class_counts(sample: DataFrame) -> tuple[list[dict], list[dict]]:
-    """Of either half of the sample (fold), per domain: how many texts there are, and how many have each bucket."""
+    """Of either half of the sample (fold), per domain: how many texts there are, and how many have each bucket that LEAST have."""
     one = F.explode(F.array_append(buckets(words(F.col("text"))), F.lit(-1))).alias("b")
-    counts = sample.select("fold", "domain", one).groupBy("fold", "domain", "b").agg(F.count("*").alias("n"))
+    cells = [(fold, d) for fold in range(2) for d in DOMAINS]
+    sums = [F.count_if((F.col("fold") == fold) & (F.col("domain") == d)).alias(f"{d}{fold}") for fold, d in cells]
+    counts = sample.select("fold", "domain", one).groupBy("b").agg(*sums).filter((F.col("b") < 0) | (sum(F.col(f"{d}{fold}") for fold, d in cells) >= LEAST))
     n = [{d: 0 for d in DOMAINS} for _ in range(2)]
     have = [{d: [0] * BUCKETS for d in DOMAINS} for _ in range(2)]
-    for fold, d, b, k in counts.collect():
-        if b < 0:
-            n[fold][d] = k
-        else:
-            have[fold][d][b] = k
+    for b, *found in counts.collect():
+        for (fold, d), k in zip(cells, found):
+            if b < 0:
+                n[fold][d] = k
+            else:
+                have[fold][d][b] = k
     return n, have
 
 
