@@ -5,12 +5,13 @@ non-negative unbiased risk
 
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))
 
-of trusted positives and unlabelled web text. The class prior is estimated from the label table's learnable rows. Label 0 is
-never used as a class of its own: unlabelled text is a sample of all texts outside the held-out fold.
+of trusted positives and unlabelled web text. The class prior is estimated from these two alone: over thresholds under which few
+positives fall, the least ratio of the shares of unlabelled texts and of positives above, on halves that their classifier hasn't seen.
+Label 0 is never used: unlabelled text is a sample of all texts outside the held-out fold.
 
 Cases: null and empty texts have the measures of an empty text and get a score like any other; very long texts are measured
-whole; repeated rows get equal scores; without positives or unlabelled texts every score is the prior; an empty table gives an
-empty result; columns other than those named are not looked at.
+whole; repeated rows get equal scores, and a repeated positive id counts once; ties in the sample's hash go by id; without positives or
+unlabelled texts every score is FIRST_PRIOR; an empty table gives an empty result; columns other than those named are not looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from sigloom.llm.common import fold_of, give_back, table, thrifty
 #: The most trusted positives and the most unlabelled texts that the classifier is fitted on.
 POSITIVES, UNLABELLED = 4000, 8000
 THRESHOLD = 0.5
+#: Where the estimate of the class prior starts, and its rounds.
+FIRST_PRIOR, PRIOR_ROUNDS = 0.5, 2
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()-]")
 _NOISY = re.compile(r"\S*\w[^\w\s.,;:'\")-]+(?=\s|$)")
 
@@ -126,6 +129,21 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     return Model(prior, mean, scale, tuple(params))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, prior: float = FIRST_PRIOR, rounds: int = PRIOR_ROUNDS) -> float:
+    """The share of positives among the unlabelled rows, from scores of halves that the fit hasn't seen."""
+    if len(positive) < 2 or len(unlabelled) < 2:
+        return prior
+    own, other = np.arange(len(positive)) % 2, np.arange(len(unlabelled)) % 2
+    for _ in range(rounds):
+        p, u = np.zeros(len(positive)), np.zeros(len(unlabelled))
+        for k in range(2):
+            m = fit(positive[own != k], unlabelled[other != k], prior)
+            p[own == k], u[other == k] = m.scores(positive[own == k]), m.scores(unlabelled[other == k])
+        cuts = np.quantile(p, np.linspace(0.01, 0.5, 50))
+        prior = float(np.clip(min((u >= c).mean() / (p >= c).mean() for c in cuts), 0.02, 0.98))
+    return prior
+
+
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns in keep and x, the measures of each text."""
     kinds = dict(docs.dtypes)
@@ -145,12 +163,12 @@ def _matrix(df: DataFrame) -> np.ndarray:
     return np.asarray(flat).reshape(-1, N_MEASURES)
 
 
-def trained(docs: DataFrame, positives: DataFrame, n_unlabelled: int, n_docs: int, prior: float) -> Model:
+def trained(docs: DataFrame, positives: DataFrame, n_unlabelled: int, n_docs: int) -> Model:
     """positives: at most POSITIVES ids; n_docs: rows of docs, of which about n_unlabelled are drawn by a hash of the id."""
     p = _matrix(measured(docs.join(F.broadcast(positives), "doc_id").select("doc_id", "text"), ["doc_id"]).orderBy("doc_id"))
     share = int(min(1.0, n_unlabelled / max(1, n_docs)) * (1 << 40))
     u = _matrix(measured(docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 40)) < share).select("doc_id", "text"), ["doc_id"]).orderBy("doc_id").limit(2 * n_unlabelled))
-    return fit(p, u, prior)
+    return fit(p, u, estimated_prior(p, u))
 
 
 def score_of(spark: SparkSession, model: Model):
@@ -170,10 +188,9 @@ def score_of(spark: SparkSession, model: Model):
 def model_from(docs: DataFrame, labels: DataFrame) -> Model:
     """The classifier of documents and labels (doc_id, quality), from the rows outside the held-out fold."""
     docs = docs.filter(fold_of(F.col("doc_id"), 3) != 1)
-    learn = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), 3) != 1))
-    n, ones = learn.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    positives = learn.filter("y = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES).distinct()
-    return trained(docs, positives, UNLABELLED, docs.count(), (ones + 0.5) / (n + 1))
+    learn = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter((F.col("y") == 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id"), 3) != 1))
+    positives = learn.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES).distinct()
+    return trained(docs, positives, UNLABELLED, docs.count())
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

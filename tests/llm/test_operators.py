@@ -258,6 +258,15 @@ def test_quality_learns_from_positives(spark):
     assert m.scores(np.array([quality.measures(t) for t in bad[50:]])).max() < 0.5
 
 
+@pytest.mark.parametrize("share", [0.4, 0.8])
+def test_quality_prior_needs_no_negatives(share):
+    rng = np.random.default_rng(14)
+    positive = rng.normal(1, 1, (600, quality.N_MEASURES))
+    n = int(1200 * share)
+    unlabelled = np.vstack([rng.normal(1, 1, (n, quality.N_MEASURES)), rng.normal(-1, 1, (1200 - n, quality.N_MEASURES))])
+    assert quality.estimated_prior(positive, rng.permutation(unlabelled)) == pytest.approx(share, abs=0.06)
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(5)
     make = lambda k: sentence(rng, 40) + (" you utter scoundrelly knave " if k else " ") + sentence(rng, 40)
