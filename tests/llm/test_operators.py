@@ -75,6 +75,26 @@ def test_map_versions(spark, tmp_path):
     assert sharding.load_map(spark, path, 0).count() == 64
 
 
+def test_sharding_query(spark, odd, none, tmp_path):
+    """The registered query: sizes and checksums by brute force, gapless slots, shards of near equal bytes, one row per row."""
+    rng = np.random.default_rng(15)
+    more = spark.createDataFrame([(100 + k, "ü" * int(rng.integers(0, 300)) + "x") for k in range(3000)], "doc_id long, text string")
+    odd.select("doc_id", "text").unionByName(more).write.parquet(str(tmp_path / "a/documents.parquet"))
+    none.write.parquet(str(tmp_path / "b/documents.parquet"))
+    assert sharding.op1_sharding(spark, str(tmp_path / "b")).count() == 0
+    texts = {r["doc_id"]: r["text"] for r in more.collect()} | dict(enumerate(TEXTS)) | {None: TEXTS[7]}
+    got = sharding.op1_sharding(spark, str(tmp_path / "a")).collect()
+    assert len(got) == 3000 + odd.count()
+    slots, bytes_ = {}, {}
+    for r in got:
+        data = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 1, zlib.crc32(data), "bytes", None)
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        bytes_[r["shard"]] = bytes_.get(r["shard"], 0) + r["size"]
+    assert sorted(slots) == list(range(8)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(bytes_.values()) - min(bytes_.values()) <= len(LONG) + 1
+
+
 # --- 2 -------------------------------------------------------------------------------------------
 
 
@@ -221,9 +241,64 @@ def test_mixing_odd_rows(spark, odd, none):
     assert mixing.memberships(none, labels).count() == 0 and mixing.fitted(mixing.memberships(none, labels), mixing.TARGET) == [0.0] * 3
 
 
+def test_mixing_query(spark):
+    """The registered query: expected tokens meet the targets, copies are the rate rounded up or down."""
+    rows = mixing.op3_mixing(spark, "/root/testdata/sf0.001").collect()
+    p = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in rows])
+    rate, tokens = np.array([r["rate"] for r in rows]), np.array([r["tokens"] for r in rows], float)
+    wanted = np.array([mixing.TARGET[d] for d in mixing.DOMAINS]) * tokens.sum()
+    best = brute_rates(np.where(tokens[:, None] > 0, p, 0), np.maximum(tokens, 1e-9), wanted, np.inf)
+    far = lambda x: np.sum(((p * tokens[:, None]).T @ x / tokens.sum() - wanted / tokens.sum()) ** 2)
+    assert far(rate) <= far(best) + 1e-6 and np.allclose(p.sum(1), 1) and rate.min() >= 0
+    assert all(r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in rows)
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 
 
+def brute_fingerprints(texts):
+    """The fingerprint of any text, from plain sets and sorted lists over all the texts."""
+    import regex
+    import xxhash
+
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64(t.encode(), seed=42).intdigest())
+    own = lambda t: {signed(w) for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+    df = {}
+    for t in texts:
+        for h in own(t):
+            df[h] = df.get(h, 0) + 1
+    lo, hi = len(texts) * np.exp(-imatch.IDF_BAND[1]), len(texts) * np.exp(-imatch.IDF_BAND[0])
+    lex = {h for h, n in df.items() if lo <= n <= hi}
+
+    def fingerprint(t):
+        terms = own(t)
+        used = sorted(terms & lex if len(terms & lex) >= imatch.FEW else terms or {signed(t)})
+        parts = [[h for h in used if (h >> (9 * seed + 3)) % one_of == 0] for seed in range(imatch.LEXICONS) for one_of in imatch.ONE_OF]
+        return "-".join(hashlib.md5(",".join(map(str, x)).encode()).hexdigest()[:16] if x else "" for x in parts)
+
+    return fingerprint
+
+
+def brute_likeness(a, b):
+    pairs = [(x, y) for x, y in zip(a.split("-"), b.split("-")) if x or y]
+    return 1.0 if a == b else sum(x == y for x, y in pairs) / max(1, len(pairs))
+
+
+def test_imatch_equals_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(16)
+    texts = [sentence(rng, int(rng.integers(0, 80)), "abcd") for _ in range(300)] + ["", "one", "one two", "1 2 3 4 5 6 7"]
+    texts += [texts[3] + " more", texts[4], "A-b.C", "☃"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    of = brute_fingerprints(texts)
+    for r in imatch.op4_imatch(spark, str(tmp_path)).collect():
+        t, nxt = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (of(t), of(edited))
+        assert r["near_edited"] == pytest.approx(brute_likeness(of(t), of(edited))) and r["near_next"] == pytest.approx(brute_likeness(of(t), of(nxt)))
+
+
+
+
 def test_imatch(spark, odd, none, tmp_path):
     rng = np.random.default_rng(2)
     rows = [(k, sentence(rng, 60, "abc")) for k in range(200)]
@@ -537,5 +612,20 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
 
 
+def test_pipeline_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, ties and foreign columns go through all stages."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(17)
+    good = [(100 + k, sentence(rng, 40) + ".", "en", "s", 1, "x", "y", 1.0) for k in range(60)]
+    docs = odd.unionByName(spark.createDataFrame(good + good[:10] + [(100, sentence(rng, 30), None, None, None, None, None, None), (None, sentence(rng, 30), None, None, None, None, None, None)], odd.schema))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(100 + k, 1, 0) for k in range(60)] + [(100, 1, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r["doc_id"] for r in out]
+    assert all(ids.count(100 + k) == 1 for k in range(1, 60)) and len(out) <= docs.count() - 10
+    assert all(r["round_trip"] for r in out)
+
+
 def test_shared_dir_follows_the_session(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
