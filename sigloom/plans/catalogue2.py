@@ -57,9 +57,14 @@ def biquad_coefs(spark, d):
     return rows.select("fs", "lo", "hi", (F.col("p") + 1).alias("section"), *[r6(f"s.{c}").alias(c) for c in ("scale", "a1", "a2")])
 
 
-@query()
+@query(f"""
+with recursive {SERIES.replace("s as (", "s as materialized (")},
+r(ch, i, y, z1, z2) as (select ch, i, 0.0247849::double * v, 1.9588637::double * (0.0247849::double * v), -0.0247849::double * v - 0.9700202::double * (0.0247849::double * v) from s where i = 1
+ union all select s.ch, s.i, 0.0247849::double * s.v + r.z1, r.z2 + 1.9588637::double * (0.0247849::double * s.v + r.z1), -0.0247849::double * s.v - 0.9700202::double * (0.0247849::double * s.v + r.z1) from r join s on s.ch = r.ch and s.i = r.i + 1)
+select ch, i, round(y, 6) y from r
+""")
 def biquad_filter(spark, d):
-    """Whole channels; the recursion has no SQL."""
+    """One band-pass section over whole channels."""
     section = [[0.0247849, 0.0, -0.0247849, 1.0, -1.9588637, 0.9700202]]
     out = dsp.mapped(dsp.blocks(series(spark, d), ["ch"], "i", "v"), lambda x: dsp.run_sections(x, section)[0])
     return dsp.unblocked(out, ["ch"]).select("ch", F.col("idx").cast("long").alias("i"), r6("value").alias("y"))
@@ -648,13 +653,11 @@ def replayed(spark, d):
 
 
 def drained(stream, mode: str):
-    """Runs a stream over what is there, in the shared checkpoint folder, and returns the rows of its sink."""
-    import uuid
+    """Runs a stream over what is there, and returns the rows of its result: each batch is written into the shared folder, and of a
+    complete result the last batch counts. Nothing passes through the driver."""
+    from sigloom.streaming import live
 
-    name = f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return live.drained(stream, mode)
 
 
 @query("""
@@ -679,14 +682,19 @@ def session_windows(spark, d):
 
 
 @query("""
-with s as (select event_type ch, event_id n, value, row_number() over (partition by event_type order by event_id) i from events where event_id % 13 <> 0) select ch, n sample_no from s
+with recursive g as (select tan(pi() * 8 / 128) k, tan(pi() * 1.5::double / 128) q), c as (select k * k / (1 + sqrt(2.0::double) * k + k * k) b, 2 * (k * k - 1) / (1 + sqrt(2.0::double) * k + k * k) a1, (1 - sqrt(2.0::double) * k + k * k) / (1 + sqrt(2.0::double) * k + k * k) a2, q / (1 + q) e, (q - 1) / (q + 1) f from g),
+s as materialized (select event_type ch, event_id n, value v, row_number() over (partition by event_type order by event_id) i from events where event_id % 13 <> 0),
+r as (select ch, i, n, b * v y, 2 * b * v - a1 * (b * v) z1, b * v - a2 * (b * v) z2, e * (b * v) ** 2 p, e * (b * v) ** 2 - f * (e * (b * v) ** 2) w from s cross join c where i = 1
+ union all select ch, i, n, y, 2 * b * v - a1 * y + z2, b * v - a2 * y, e * y * y + w, e * y * y - f * (e * y * y + w) from (select s.ch, s.i, s.n, s.v, c.*, c.b * s.v + r.z1 y, r.z2, r.w from r join s on s.ch = r.ch and s.i = r.i + 1 cross join c))
+select ch, n sample_no, round(y, 5) filtered, round(p, 4) envelope from r
 """)
 def stream_iir(spark, d):
-    """Which samples the stateful filter passes on (its values are held against the batch filter in the tests)."""
+    """The stateful low-pass of each channel's valid samples, and the envelope of what it passes."""
     from sigloom.streaming import live
 
     s = replayed(spark, d).select(F.col("event_type").alias("channel"), F.col("event_id").alias("sample_no"), F.when(F.col("event_id") % 13 == 0, 0).otherwise(2).alias("status"), "value")
-    return drained(live.filtered(s, dsp.butterworth(2, 8.0, 128.0)), "append").select(F.col("channel").alias("ch"), "sample_no")
+    out = drained(live.filtered(s, dsp.butterworth(2, 8.0, 128.0)), "append")
+    return out.select(F.col("channel").alias("ch"), "sample_no", F.round("filtered", 5).alias("filtered"), F.round("envelope", 4).alias("envelope"))
 
 
 @query("""

@@ -5,11 +5,14 @@ All stateless functions work on batches as well, which is how their results are
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -141,3 +144,29 @@ def cues(spark, seconds: float, idle: float, move: float) -> DataFrame:
 def segment_sink(stream: DataFrame, path: str, checkpoint: str):
     """Writes a stream's valid samples as Parquet, one folder per segment, each batch once."""
     return valid(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("segment").outputMode("append").start()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset in local mode (tests), a folder of this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or os.path.join(tempfile.gettempdir(), "checkpoints", "sigloom")
+
+
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """The result of a stream over what is there: every batch is written once, under its number, into the shared folder (a repeated batch
+    replaces its own files); of a complete result the last batch counts, of an appended one all."""
+    spark = stream.sparkSession
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    numbers: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        numbers.append(number)
+        where = f"{at}/out/batch={number if mode == 'append' else 0}"
+        batch.write.mode("overwrite").parquet(where)
+
+    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out/batch=*") if numbers else spark.createDataFrame([], stream.schema)
