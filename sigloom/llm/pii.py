@@ -159,9 +159,11 @@ def marked(kind: int, m: Column) -> Column:
     return m.rlike(mark)
 
 
-def described(kind: int, text: Column, x: Column, m: Column) -> dict[str, Column]:
-    """The features of a span x of the text that reads m."""
-    d = digits(m)
+CANDIDATE = ", ".join(f"{x}: int" for x in ("k", "s", "e", *list(FEATURES)[1:], "over", "use"))
+
+
+def described(kind: int, text: Column, x: Column, m: Column, d: Column) -> dict[str, Column]:
+    """The features of a span x of the text that reads m, whose digits are d."""
     n = F.char_length(m) if kind == SECRET else F.char_length(d)
     inner = F.regexp_replace(m, "[^ .-]", "")
     before = F.substring(text, F.greatest(x["s"] - 24, F.lit(0)) + 1, F.least(x["s"], F.lit(24)))
@@ -183,7 +185,7 @@ def candidates(text: Column, base: Column) -> Column:
     for kind, pattern, first in GENERATORS:
 
         def one(x: Column, kind: int = kind) -> Column:
-            f = described(kind, text, x, x["m"])
+            f = described(kind, text, x, x["m"], x["d"])
             over = F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
             if kind == SECRET:
                 use = F.when(f["cue"] == 1, 2).otherwise(0)
@@ -193,9 +195,8 @@ def candidates(text: Column, base: Column) -> Column:
                 F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e"), *[v.alias(name) for name, v in f.items()], over.cast("int").alias("over"), F.when(~over, use).cast("int").alias("use"),
             )
 
-        spans = F.transform(located(text, pattern), lambda x: one(x))
-        none = F.filter(F.transform(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit("").alias("m"))), lambda x: one(x)), lambda x: F.lit(False))
-        out.append(F.when(text.rlike(first), spans).otherwise(none))
+        found = F.transform(located(text, pattern), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), digits(x["m"]).alias("d")))
+        out.append(F.when(text.rlike(first), F.transform(found, lambda x: one(x))).otherwise(F.array().cast(f"array<struct<{CANDIDATE}>>")))
     return F.concat(*out)
 
 
@@ -210,7 +211,7 @@ def masked(text: Column, base: Column) -> Column:
         def one(x: Column, kind: int = kind) -> Column:
             m = F.substring(text, x["s"] + 1, x["e"] - x["s"])
             bare = F.regexp_replace(m, r"^\+[0-9]{1,3}[ ().-]+", "") if kind == 3 else m
-            f = described(kind, text, x, bare)
+            f = described(kind, text, x, bare, digits(bare))
             f |= {"mark": F.lit(0), "valid": F.lit(1)} | ({"sep": F.lit(2)} if kind != 3 else {})
             return F.struct(F.lit(kind).alias("k"), *[v.alias(name) for name, v in f.items()])
 
@@ -358,10 +359,20 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def found_in(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns in keep, base spans, candidates and masked examples of every row."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("base", let(t, base_spans)).withColumn("cands", candidates(t, F.col("base"))).withColumn("masks", masked(t, F.col("base")))
-    return rows.select(*keep, "base", "cands", "masks")
+    """The columns in keep, base spans, candidates and masked examples of every row. The text and its base spans are bound once: the
+    expressions over candidates look at them for each."""
+
+    def described_text(t: Column) -> Column:
+        return let(base_spans(t), lambda b: F.struct(b.alias("base"), candidates(t, b).alias("cands"), masked(t, b).alias("masks")))
+
+    found = let(F.coalesce(F.col(text), F.lit("")), described_text)
+    return docs.select(*keep, found.alias("_found")).select(*keep, "_found.base", "_found.cands", "_found.masks")
+
+
+def redaction(text: Column, model: Model) -> Column:
+    """The text with its personal data replaced; everything that is looked at more than once is bound once."""
+    spans = lambda t: let(base_spans(t), lambda b: let(candidates(t, b), lambda c: all_spans(b, c, model)))
+    return let(F.coalesce(text, F.lit("")), lambda t: let(spans(t), lambda s: redacted(t, s)))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
