@@ -41,10 +41,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A null text stays null; an empty one stays empty; overlapping finds are replaced as one; no row goes.
     """
-    model = pii.learned(written(pii.found_in(docs, ["doc_id"]).filter("size(cands) > 0 or size(masks) > 0"), "candidates"))
-    found = pii.found_in(docs, list(COLUMNS))
-    changed = pii.redacted(F.coalesce("text", F.lit("")), pii.all_spans(F.col("base"), F.col("cands"), model))
-    out = found.withColumn("text", F.when(F.col("text").isNotNull(), changed))
+    model = pii.learned(written(pii.found_in(docs, ["doc_id"]), "candidates"))
+    out = docs.select(*COLUMNS).withColumn("text", F.when(F.col("text").isNotNull(), pii.redaction(F.col("text"), model)))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
