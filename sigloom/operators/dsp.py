@@ -321,3 +321,40 @@ def power_rows(df: DataFrame, by: Sequence[str], fs: float, bands: Sequence[tupl
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lo), pa.array(hi), pa.array(power, pa.float64())], [*by, "lo", "hi", "power"])
 
     return df.select(*by, values).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", lo double, hi double, power double")
+
+
+def stft_rows(df: DataFrame, by: Sequence[str], fs: float, window: int, causal: bool = True, values: str = "values") -> DataFrame:
+    """by, idx (from 1), k, freq, magnitude: the transform of the window at every sample of each block row, where it fits."""
+    width = window // 2 + 1
+    flat = mapped(df, lambda x: stft(x, fs, window, causal=causal).reshape(-1), values, "_m")
+    rows = flat.select(*by, F.posexplode("_m").alias("_p", "magnitude")).filter(~F.isnan("magnitude"))
+    k = (F.col("_p") % width).cast("int")
+    return rows.select(*by, (F.floor(F.col("_p") / width) + 1).cast("long").alias("idx"), k.alias("k"), (k * fs / window).alias("freq"), "magnitude")
+
+
+def spectra(df: DataFrame, by: Sequence[str], fs: float, values: str = "values") -> DataFrame:
+    """by, k, freq, density of every block row: the one-sided power density of its samples less their straight line, without a window."""
+
+    def density(x: np.ndarray) -> np.ndarray:
+        n = len(x)
+        p = np.abs(np.fft.rfft(detrended(x))) ** 2 / n / fs
+        p[1 : len(p) - (n % 2 == 0)] *= 2
+        return p
+
+    rows = mapped(df, density, values, "_d").withColumn("_n", F.size(values))
+    return rows.select(*by, "_n", F.posexplode("_d").alias("k", "density")).select(*by, "k", (F.col("k") * fs / F.col("_n")).alias("freq"), "density")
+
+
+def band_pass_rows(df: DataFrame, by: Sequence[str], fs: float, bands: Sequence[tuple[float, float]], values: str = "values") -> DataFrame:
+    """by, lo, hi, power of every block row after the two band-pass sections of each band."""
+    power = mapped(df, lambda x: np.array([band_pass_power(x, fs, lo, hi) for lo, hi in bands]), values, "_p")
+    edges = F.array(*[F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for lo, hi in bands])
+    return power.select(*by, F.explode(F.arrays_zip(edges.alias("band"), F.col("_p").alias("power"))).alias("x")).select(*by, "x.band.lo", "x.band.hi", "x.power")
+
+
+def epoch_powers(df: DataFrame, by: Sequence[str], fs: float, bands: Sequence[tuple[float, float]], t0: float, t1: float, size: float, values: str = "values") -> DataFrame:
+    """by, band (its number), segment, power of every epoch: each epoch filtered as a whole, then cut between t0 and t1 seconds."""
+    flat = mapped(df, lambda x: segmented_power(x, fs, bands, t0, t1, size).reshape(-1), values, "_p")
+    n = max(1, int((t1 - t0) / size + 1e-9))
+    rows = flat.select(*by, F.posexplode("_p").alias("_k", "power"))
+    return rows.select(*by, F.floor(F.col("_k") / n).cast("int").alias("band"), (F.col("_k") % n).cast("int").alias("segment"), "power")

@@ -299,3 +299,82 @@ def level_and_spread(spark, d):
     """Each channel's median and median deviation."""
     out = stats.with_robust_std(series(spark, d), ["ch"], "v")
     return out.select("ch", r6("median").alias("med"), r6("mad").alias("mad"))
+
+
+# --- spectra of every block ---------------------------------------------------------------------
+
+
+@query(f"""
+with {SERIES}, w as (select a.ch, a.i, b.i - a.i + 15 - 7.5::double t, b.i - a.i + 15 j, b.v from s a join s b on a.ch = b.ch and b.i between a.i - 15 and a.i where a.i >= 16),
+m as (select ch, i, avg(v) m, sum(t * v) / sum(t * t) b from w group by 1, 2), y as (select w.ch, w.i, j, v - m.m - m.b * t x from w join m using (ch, i))
+select ch, i idx, cast(k as int) k, round(sqrt(sum(x * cos(2 * pi() * k * j / 16)) ** 2 + sum(x * sin(2 * pi() * k * j / 16)) ** 2), 4) magnitude from y cross join (select range k from range(1, 9)) q group by ch, i, k
+""")
+def stft_magnitude(spark, d):
+    """The transform of the last 16 samples, less their straight line, at every sample; without the frequency 0, which is 0."""
+    out = dsp.stft_rows(dsp.blocks(series(spark, d), ["ch"], "i", "v"), ["ch"], 128.0, 16)
+    return out.filter("k > 0").select("ch", "idx", "k", F.round("magnitude", 4).alias("magnitude"))
+
+
+EPOCHS = SERIES + ", e as (select ch, (i - 1) // 64 ep, (i - 1) % 64 j, v from s), f as (select ch, ep, avg(v) m, sum((j - 31.5::double) * v) / sum((j - 31.5::double) ** 2) b from e group by 1, 2 having count(*) = 64), y as (select ch, ep, j, v - m - b * (j - 31.5::double) x, m from e join f using (ch, ep))"
+
+
+def epochs(spark, d):
+    e = series(spark, d).withColumn("ep", F.floor((F.col("i") - 1) / 64).cast("long"))
+    return dsp.blocks(e, ["ch", "ep"], "i", "v").filter("size(values) = 64")
+
+
+@query(f"with {EPOCHS} select ch, cast(ep as bigint) ep, cast(k as int) k, round((sum(x * cos(2 * pi() * k * j / 64)) ** 2 + sum(x * sin(2 * pi() * k * j / 64)) ** 2) * case when k = 32 then 1 else 2 end / 64 / 128, 5) density from y cross join (select range k from range(1, 33)) q group by ch, ep, k")
+def epoch_spectra(spark, d):
+    """The power density of every epoch of 64 samples; without the frequency 0, which is 0."""
+    out = dsp.spectra(epochs(spark, d), ["ch", "ep"], 128.0)
+    return out.filter("k > 0").select("ch", "ep", "k", F.round("density", 5).alias("density"))
+
+
+@query(f"""
+with {EPOCHS}, p as (select ch, ep, k, (sum(x * cos(2 * pi() * k * j / 64)) ** 2 + sum(x * sin(2 * pi() * k * j / 64)) ** 2) * case when k = 32 then 1 else 2 end / 4096 pw from y cross join (select range k from range(1, 33)) q group by ch, ep, k),
+b as (select * from (values (0.0::double, 8.0::double), (8, 16), (16, 64)) t(lo, hi)), z as (select ch, ep, any_value(m) m from y group by 1, 2)
+select ch, cast(ep as bigint) ep, lo, hi, round(sum(pw) + any_value(case when lo = 0 then m * m else 0 end), 4) power from p join b on k * 2 >= lo and k * 2 < hi join z using (ch, ep) group by ch, ep, lo, hi
+""")
+def epoch_bandpower(spark, d):
+    """Power in bands of every epoch of 64 samples; a band from 0 has the mean's square."""
+    out = dsp.power_rows(epochs(spark, d), ["ch", "ep"], 128.0, [(0.0, 8.0), (8.0, 16.0), (16.0, 64.0)], "fft")
+    return out.select("ch", "ep", "lo", "hi", F.round("power", 4).alias("power"))
+
+
+@query()
+def epoch_biquad_power(spark, d):
+    """Power of every epoch after the two band-pass sections of each band; its recursion runs on reflected samples first."""
+    out = dsp.band_pass_rows(epochs(spark, d), ["ch", "ep"], 128.0, [(8.0, 12.0), (16.0, 24.0)])
+    return out.select("ch", "ep", "lo", "hi", r6("power").alias("power"))
+
+
+@query(f"with {EPOCHS}, c as (select ch, ep, j, v - avg(v) over (partition by ch, ep) x from e join (select ch, ep from f) using (ch, ep)) select ch, cast(ep as bigint) ep, cast(j // 16 as int) segment, round(avg(x * x), 5) power from c group by 1, 2, 3")
+def epoch_segments(spark, d):
+    """The power of each epoch's segments of an eighth of a second, in one band that takes everything."""
+    out = dsp.epoch_powers(epochs(spark, d), ["ch", "ep"], 128.0, [(0.0, 64.0)], 0.0, 0.5, 0.125)
+    return out.select("ch", "ep", "segment", F.round("power", 5).alias("power"))
+
+
+# --- sources ------------------------------------------------------------------------------------
+
+
+@query("select o_orderkey // 5000 rec, row_number() over (partition by o_orderkey // 5000 order by o_orderkey) frame, round(o_totalprice, 3) a, round(o_totalprice / 7, 3) b from orders")
+def emt_scan(spark, d):
+    """Orders as text exports of two channels, 5000 order numbers a file, written and scanned again."""
+    import uuid
+
+    from pyspark.sql import Window
+
+    from sigloom.sources import emt
+
+    o = load(spark, d, "orders").withColumn("rec", F.floor(F.col("o_orderkey") / 5000).cast("long"))
+    frame = F.row_number().over(Window.partitionBy("rec").orderBy("o_orderkey"))
+    number = lambda c: F.format_string("%.3f", c.cast("double"))
+    line = F.format_string("      %d\t   %s\t  %s\t  %s", F.col("frame"), F.format_string("%.3f", F.col("frame") / 100), number(F.col("o_totalprice")), number(F.col("o_totalprice") / 7))
+    rows = o.withColumn("frame", frame).withColumn("line", line).groupBy("rec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    head = "BTS ASCII format\n\nMeasure unit: \tmV\nTracks: \t2\n\n Frame\t Time\t a\t b\n"
+    at = f"{live.shared_folder(spark)}/emt-{uuid.uuid4().hex}"
+    rows.select(F.concat(F.lit(head), "body").alias("value"), "rec").repartition("rec").write.option("lineSep", "\n").partitionBy("rec").option("maxRecordsPerFile", 1).text(at)
+    got = emt.read(spark, f"{at}/rec=*")
+    rec = F.regexp_extract("path", r"rec=(\d+)", 1).cast("long")
+    return got.groupBy(rec.alias("rec"), "frame").pivot("channel", ["a", "b"]).agg(F.first("value"))
