@@ -101,11 +101,25 @@ def zero_filled(present: DataFrame, full: DataFrame, name: str, value: str) -> D
     return full.join(present, name, "left").crossJoin(F.broadcast(top)).select(name, (F.coalesce(F.col(value), F.lit(0.0)) / F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0)).alias("scaled"))
 
 
-# fixed values: channel names of common montages, in order
+# fixed values: channel names of the amplifiers' sockets and of common caps, in order
+FIRST = "Cz Fp1 Fpz Fp2 F7 F3 Fz F4 F8 FC5 FC1 FC2 FC6 M1 T7 C3 C4 T8 M2 CP5 CP1 CP2 CP6 P7 P3 Pz P4 P8 POz O1 Oz O2 D1"
+SECOND = "Cz AF7 AF3 AFz AF4 AF8 F5 F1 F2 F6 FC3 FCz FC4 C5 C1 C2 C6 CP3 CPz CP4 P5 P1 P2 P6 PO3 PO4 FT7 FT8 TP7 TP8 PO7 PO8 D2"
+CAP = "FP1 FZ F3 F7 FT9 FC5 FC1 C3 T7 M1 CP5 CP1 PZ P3 P7 O1 OZ O2 P4 P8 M2 CP6 CP2 CZ C4 T8 FT10 FC6 FC2 F4 F8 FP2 D1 DIAG"
+FULL = (
+    "Fp1 Fpz Fp2 AF7 AF3 AFz AF4 AF8 F9 F7 F5 F3 F1 Fz F2 F4 F6 F8 F10 FT9 FT7 FC5 FC3 FC1 FCz FC2 FC4 FC6 FT8 FT10 T7 C5 C3 C1 Cz C2 C4 C6 T8 "
+    "TP9 TP7 CP5 CP3 CP1 CPz CP2 CP4 CP6 TP8 TP10 P9 P7 P5 P3 P1 Pz P2 P4 P6 P8 P10 PO7 PO3 POz PO4 PO8 O1 Oz O2"
+)
+#: Numbered sockets, and both amplifiers together, follow by rule.
+NUMBERED = {k: " ".join(f"{x}{n}" for n in range(1, 33)) + f" D{k}" for k, x in ((1, "A"), (2, "B"))}
 MONTAGES = {
-    "10-20 (19)": "Fp1 Fp2 F7 F3 Fz F4 F8 T7 C3 Cz C4 T8 P7 P3 Pz P4 P8 O1 O2",
-    "central (9)": "FC3 FCz FC4 C3 Cz C4 CP3 CPz CP4",
-    "EMG (8)": "emg1 emg2 emg3 emg4 emg5 emg6 emg7 emg8",
+    "amplifier 1": f"{FIRST} DIAG",
+    "amplifier 2": f"{SECOND} DIAG",
+    "both amplifiers": f"{FIRST} {SECOND} DIAG",
+    "amplifier 1, numbered": f"{NUMBERED[1]} DIAG",
+    "amplifier 2, numbered": f"{NUMBERED[2]} DIAG",
+    "both amplifiers, numbered": f"{NUMBERED[1]} {NUMBERED[2]} DIAG",
+    "cap (32)": CAP,
+    "combinatorial nomenclature": FULL,
 }
 
 

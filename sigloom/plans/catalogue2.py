@@ -432,7 +432,12 @@ def chan_mask(spark, d):
 
 
 @query("""
-with m as (select * from (values ('10-20 (19)', 'Fp1 Fp2 F7 F3 Fz F4 F8 T7 C3 Cz C4 T8 P7 P3 Pz P4 P8 O1 O2'), ('central (9)', 'FC3 FCz FC4 C3 Cz C4 CP3 CPz CP4'), ('EMG (8)', 'emg1 emg2 emg3 emg4 emg5 emg6 emg7 emg8')) t(montage, n)),
+with f as (select 'Cz Fp1 Fpz Fp2 F7 F3 Fz F4 F8 FC5 FC1 FC2 FC6 M1 T7 C3 C4 T8 M2 CP5 CP1 CP2 CP6 P7 P3 Pz P4 P8 POz O1 Oz O2 D1' a, 'Cz AF7 AF3 AFz AF4 AF8 F5 F1 F2 F6 FC3 FCz FC4 C5 C1 C2 C6 CP3 CPz CP4 P5 P1 P2 P6 PO3 PO4 FT7 FT8 TP7 TP8 PO7 PO8 D2' b, (select string_agg('A' || n, ' ' order by n) from range(1, 33) t(n)) || ' D1' c, (select string_agg('B' || n, ' ' order by n) from range(1, 33) t(n)) || ' D2' e),
+m as (select 'amplifier 1' montage, a || ' DIAG' n from f union all select 'amplifier 2', b || ' DIAG' from f union all select 'both amplifiers', a || ' ' || b || ' DIAG' from f
+ union all select 'amplifier 1, numbered', c || ' DIAG' from f union all select 'amplifier 2, numbered', e || ' DIAG' from f union all select 'both amplifiers, numbered', c || ' ' || e || ' DIAG' from f
+ union all select 'cap (32)', 'FP1 FZ F3 F7 FT9 FC5 FC1 C3 T7 M1 CP5 CP1 PZ P3 P7 O1 OZ O2 P4 P8 M2 CP6 CP2 CZ C4 T8 FT10 FC6 FC2 F4 F8 FP2 D1 DIAG'
+ union all select 'combinatorial nomenclature', 'Fp1 Fpz Fp2 AF7 AF3 AFz AF4 AF8 F9 F7 F5 F3 F1 Fz F2 F4 F6 F8 F10 FT9 FT7 FC5 FC3 FC1 FCz FC2 FC4 FC6 FT8 FT10 T7 C5 C3 C1 Cz C2 C4 C6 T8 '
+ || 'TP9 TP7 CP5 CP3 CP1 CPz CP2 CP4 CP6 TP8 TP10 P9 P7 P5 P3 P1 Pz P2 P4 P6 P8 P10 PO7 PO3 POz PO4 PO8 O1 Oz O2'),
 x as (select montage, unnest(string_split(n, ' ')) channel, unnest(range(1, len(string_split(n, ' ')) + 1)) p from m) select montage, cast(p as int) "position", channel from x
 """)
 def montage_rows(spark, d):
