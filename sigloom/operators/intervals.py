@@ -115,13 +115,17 @@ def put_bounds_seconds(bounds: DataFrame, fs: float, length: int, value: str | N
 
 
 def holding(bounds: DataFrame, points: DataFrame, by: Sequence[str], at: str, least: int) -> DataFrame:
-    """Bounds (start, end) that hold at least so many points: a range join, counted before the bounds come back."""
-    b, p = bounds.alias("b"), points.select(*by, F.col(at).alias("_at")).alias("p")
-    same = [F.col(f"b.{k}") == F.col(f"p.{k}") for k in by]
-    inside = F.col("p._at").between(F.col("b.start"), F.col("b.end"))
-    keys = [F.col(f"b.{k}").alias(k) for k in (*by, "start", "end")]
-    counted = b.join(p, [*same, inside]).groupBy(*keys).agg(F.count("*").alias("held"))
-    return counted.filter(F.col("held") >= least)
+    """by, start, end, held of the different bounds that hold at least so many points, ends included.
+
+    Points and both edges of the bounds stand on one axis per group; a bound holds the points counted up to its end less those counted
+    before its start, so no bound meets its points.
+    """
+    edge = lambda c, k, sign: F.struct(F.col(c).cast("double").alias("x"), F.lit(k).alias("k"), F.lit(sign).alias("sign"))
+    edges = bounds.select(*by, "start", "end").distinct().select(*by, "start", "end", F.explode(F.array(edge("start", -1, -1), edge("end", 1, 1))).alias("_e"))
+    axis = points.select(*by, edge(at, 0, 0).alias("_e")).unionByName(edges, allowMissingColumns=True)
+    order = Window.partitionBy(*by).orderBy("_e.x", "_e.k").rowsBetween(Window.unboundedPreceding, 0)
+    counted = axis.withColumn("_n", F.sum(F.when(F.col("_e.k") == 0, 1).otherwise(0)).over(order)).filter("_e.k <> 0")
+    return counted.groupBy(*by, "start", "end").agg(F.sum(F.col("_n") * F.col("_e.sign")).alias("held")).filter(F.col("held") >= least)
 
 
 def threshold_line(axis: DataFrame, points: DataFrame, by: Sequence[str], idx: str, at: str = "at", level: str = "level", out: str = "thr") -> DataFrame:
