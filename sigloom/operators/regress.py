@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.operators.stats import median
+
 
 def moments(df: DataFrame, xs: Sequence[str], ys: Sequence[str], affine: bool = True, weight: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """X'X, X'Y, Y'Y (diagonal) and the weight of all finite rows: one aggregation."""
@@ -54,22 +56,35 @@ def leave_one_out(df: DataFrame, xs: Sequence[str], y: str, affine: bool = True,
 
 
 def robust(df: DataFrame, xs: Sequence[str], y: str, affine: bool = True, rounds: int = 20, tune: float = 4.685) -> np.ndarray:
-    """Bisquare weights refitted until the coefficients stand still; each round is two aggregations, rows never leave the executors."""
-    b = least_squares(df, xs, [y], affine)[:, 0]
-    for _ in range(rounds):
-        r = F.col(y) - fitted_column(xs, b, affine)
-        scale = (df.agg(F.median(F.abs(r))).first()[0] or 0.0) / 0.6745
-        if not scale:
-            break
-        u = r / (tune * scale)
-        weighted = df.withColumn("_w", F.when(F.abs(u) < 1, F.pow(1 - u * u, F.lit(2.0))).otherwise(0.0))
-        xx, xy, _, _ = moments(weighted, xs, [y], affine, "_w")
-        new = np.linalg.pinv(xx) @ xy[:, 0]
-        done = np.abs(new - b).max() <= 1e-8 * max(1.0, np.abs(b).max())
-        b = new
-        if done:
-            break
-    return b
+    """Bisquare weights refitted until the coefficients stand still, on all rows whose numbers are finite. Each round is an exact median,
+    found by counting, and an aggregation; rows never leave the executors, which keep these columns alone meanwhile."""
+    kept = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*xs, y])])
+    for c in kept.columns:
+        kept = kept.filter(F.abs(F.col(c)) < float("inf"))
+    kept = kept.persist()
+    try:
+        xx, xy, yy, n = moments(kept, xs, [y], affine)
+        b = (np.linalg.pinv(xx) @ xy)[:, 0]
+        # half of the residuals are under the root of twice their mean square
+        within, last = (0.0, 1.42 * float(np.sqrt(max(0.0, yy[0] - b @ xy[:, 0]) / max(n, 1.0)))), None
+        for _ in range(rounds):
+            r = F.col(y) - fitted_column(xs, b, affine)
+            middle = median(kept, F.abs(r), within)
+            if not middle:
+                break
+            off = 0.1 * middle if last is None else 2 * abs(middle - last)
+            within, last = (middle - off, middle + off), middle
+            u = r / (tune * middle / 0.6745)
+            weighted = kept.withColumn("_w", F.when(F.abs(u) < 1, (1 - u * u) * (1 - u * u)).otherwise(0.0))
+            xx, xy, _, _ = moments(weighted, xs, [y], affine, "_w")
+            new = np.linalg.pinv(xx) @ xy[:, 0]
+            done = np.abs(new - b).max() <= 1e-8 * max(1.0, np.abs(b).max())
+            b = new
+            if done:
+                break
+        return b
+    finally:
+        kept.unpersist()
 
 
 def determination(df: DataFrame, xs: Sequence[str], y: str, b: np.ndarray, affine: bool = True) -> tuple[float, float]:

@@ -159,3 +159,52 @@ def test_nearest_mean(spark):
     s = stats_of(x, y)
     got = {r["id"]: r["c"] for r in df.select("id", classify.nearest_mean(F.col("x"), s).alias("c")).collect()}
     assert [got[k] for k in range(60)] == (1 + ((x[:, None] - s.mean[None]) ** 2).sum(-1).argmin(1)).tolist()
+
+
+OTHER = np.random.default_rng(1)
+MEDIANS = {
+    "even": OTHER.normal(size=500).tolist(),
+    "odd": OTHER.normal(size=501).tolist(),
+    "ties": [1.0] * 7 + [2.0] * 7 + [3.0, -4.0],
+    "middle between two ties": [1.0] * 8 + [2.0] * 8,
+    "one": [-3.5],
+    "equal": [0.25] * 9,
+    "far apart": [1e308, -1e308, 1e300, 1e-300, 5e-324, 0.0, -1e307, 2.0],
+    "holes": [None, float("nan"), float("inf"), 1.0, 2.0, -float("inf"), None, 9.0, 10.0],
+    "skewed": (1e9 + OTHER.exponential(size=400) ** 8).tolist(),
+}
+
+
+@pytest.mark.parametrize("kind", MEDIANS)
+@pytest.mark.parametrize("within", [None, (-1.0, 1.0), (1e6, 2e6)])
+def test_median_by_counts(spark, kind, within):
+    from pyspark.sql import functions as F
+
+    from sigloom.operators import stats
+
+    v = MEDIANS[kind]
+    finite = [x for x in v if x is not None and np.isfinite(x)]
+    df = spark.createDataFrame([(x,) for x in v], "x double")
+    assert stats.median(df, F.col("x"), within, bins=3, few=2) == pytest.approx(np.median(finite), rel=1e-15)
+    assert stats.median(df.filter("false"), F.col("x"), within) is None
+
+
+def test_robust_by_numpy_without_percentiles(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    x = RNG.normal(size=600)
+    y = 3 * x + 2 + RNG.standard_t(2, 600)
+    b = np.linalg.lstsq(a := np.column_stack([x, np.ones(600)]), y, rcond=None)[0]
+    for _ in range(20):
+        r = y - a @ b
+        u = r / (4.685 * np.median(np.abs(r)) / 0.6745)
+        w = np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0)
+        b = np.linalg.solve(a.T @ (w[:, None] * a), a.T @ (w * y))
+    odd = [(None, 1.0), (1.0, None), (float("inf"), 0.0)] + [(float("nan"), 1.0), (0.0, float("nan"))] * 100
+    df = spark.createDataFrame([*zip(x.tolist(), y.tolist()), *odd], "x double, y double")
+    # an exact percentile brings all values that differ into one task
+    for name in ("median", "percentile"):
+        monkeypatch.setattr(F, name, lambda *a: pytest.fail("all residuals in one task"))
+    assert regress.robust(df, ["x"], "y") == pytest.approx(b, abs=1e-6)
+    assert regress.robust(df.filter("false"), ["x"], "y").tolist() == [0, 0]
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
